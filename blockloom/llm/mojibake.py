@@ -37,11 +37,11 @@ LEVEL = 2.0
 WIDE = (("gbk", "utf-8"), ("gb18030", "utf-8"), ("cp932", "utf-8"), ("big5hkscs", "utf-8"), ("cp949", "utf-8"), ("big5hkscs", "gb18030"), ("cp932", "gb18030"), ("cp949", "gb18030"))
 NARROW = (
     ("cp1252", "utf-8"), ("latin-1", "utf-8"), ("cp1251", "utf-8"), ("cp437", "utf-8"), ("mac_roman", "utf-8"), ("cp850", "utf-8"), ("cp1250", "utf-8"), ("koi8-r", "utf-8"),
-    ("latin-1", "gb18030"), ("cp1252", "gb18030"), ("latin-1", "big5hkscs"), ("cp1251", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1250", "cp1252"), ("koi8-r", "cp1252"), ("cp1253", "cp1252"),
+    ("latin-1", "gb18030"), ("cp1252", "gb18030"), ("latin-1", "big5hkscs"), ("cp1251", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1250", "cp1252"), ("koi8-r", "cp1252")
 )
 #: The least score of a segment that is looked at, by whether its signs are East Asian.
 LEAST_WIDE, LEAST_NARROW = 7.0, 1.0
-_MARKS = re.compile("[�\x80-\x84\x86-\x9f-]")
+_MARKS = re.compile("[\ufffd\x80-\x84\x86-\x9f\ue000-\uf8ff]")
 _C1 = re.compile("[\x80-\x9f]")
 _SCHEMA = "bucket int, n bigint"
 
@@ -73,6 +73,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["bucket", "n"])
 
 
+def _of_lost(codec: str) -> str:
+    """What a replacement character looks like after one more wrong decoding."""
+    return ("\ufffd" * 4).encode().decode(codec, "ignore")
+
+
+def _lost_pairs() -> np.ndarray:
+    codes = [np.frombuffer(_of_lost(w).encode("utf-32-le"), np.uint32) for w in dict.fromkeys(w for w, _ in WIDE + NARROW)]
+    return np.unique(np.concatenate([_hash(c[:-1], c[1:]) for c in codes if len(c) > 1]))
+
+
 class PairScores:
     """Discounted mutual information of adjacent characters, from the counts of the whole corpus."""
 
@@ -103,12 +113,6 @@ class PairScores:
         common = np.log2(1 + n / (HALF * self.total))
         return np.where(mutual > 0, mutual, 0) * known + common
 
-    def pairs(self, text: str) -> np.ndarray:
-        return self.of(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
-
-    def mean(self, text: str) -> float:
-        return float(self.pairs(text).mean())
-
 
 def _bytes(text: str, codec: str) -> bytes:
     """The bytes that a lenient decoder turned into the text: codes it has no sign for stayed as control codes."""
@@ -154,6 +158,8 @@ class Restorer:
     def __init__(self, scores: PairScores) -> None:
         self.scores = scores
         self.memo: dict = {}
+        self.lost = np.zeros(1 << PAIR_BITS, bool)
+        self.lost[_lost_pairs()] = True
 
     def suspects(self, texts: list[str | None]) -> np.ndarray:
         """Which texts of a batch have a segment worth a look: the best segment of each by one pass over all pairs."""
@@ -162,8 +168,7 @@ class Restorer:
         if len(codes) < 2:
             return out
         plain = codes < 128
-        w = np.clip(LEVEL - self.scores.of(codes), -4.0, 2.0)
-        w = np.append(w, 0.0)
+        w = np.append(self.improbable(codes), 0.0)
         last = offsets[1:] - 1
         w[last[last >= 0]] = -1e6  # no segment leads into the next text
         total = np.cumsum(w)
@@ -178,6 +183,21 @@ class Restorer:
         some[row[~plain]] = True
         return out & some
 
+    def trusted(self, text: str) -> np.ndarray:
+        """Scores of the pairs of a text, where the signs of garbling itself count nothing however frequent they are."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.where(self.of_garbling(codes), 0.0, self.scores.of(codes))
+
+    def of_garbling(self, codes: np.ndarray) -> np.ndarray:
+        narrow = (codes >= 128) & (codes < 0x2E80)
+        return narrow[:-1] & narrow[1:] | self.lost[_hash(codes[:-1], codes[1:])]
+
+    def improbable(self, codes: np.ndarray) -> np.ndarray:
+        """How improbable each pair is.  Garbling is itself frequent in some corpora, so its own signs never count as usual:
+        two signs in a row that are neither ASCII nor East Asian, and replacement characters decoded wrongly."""
+        w = np.clip(LEVEL - self.scores.of(codes), -4.0, 2.0)
+        return np.where(self.of_garbling(codes), 2.0, w)
+
     @staticmethod
     def wide(codes: np.ndarray) -> np.ndarray:
         return (codes >= 0x2E80) & (codes < 0x1F000)
@@ -192,7 +212,7 @@ class Restorer:
             out.append((start, end, score))
 
         start, run, best, end = 0, 0.0, 0.0, -1
-        for i, x in enumerate(np.clip(LEVEL - self.scores.of(codes), -4.0, 2.0).tolist()):
+        for i, x in enumerate(self.improbable(codes).tolist()):
             if run <= 0:
                 if best > 0:
                     add(start, end + 2, best)
@@ -229,13 +249,13 @@ class Restorer:
                     continue
                 left, after = text[a - 1] if a else " ", text[b] if b < len(text) else " "
                 if k not in tried:
-                    tried[k] = self.scores.mean(left + part + after)
-                pairs = self.scores.pairs(left + new + after)
+                    tried[k] = float(self.trusted(left + part + after).mean())
+                pairs = self.trusted(left + new + after)
                 gain = float(pairs.mean()) * (1 - lost / len(new)) - tried[k]
                 if right != "utf-8":
-                    if not wide and right == "cp1252" and pairs.min() < LEVEL:
-                        continue  # between single bytes every text has a mapping: no pair of the original may be improbable
-                    gain -= 3.0 if right == "gb18030" and len(new) < 6 else 1.5
+                    if not wide and right == "cp1252" and pairs.min() < (2.5 if left.isalpha() or after.isalpha() else 0.6):
+                        continue  # between single bytes every text has a mapping: no pair of the original may be rare
+                    gain += 1.0 if not wide and right == "cp1252" else -3.0 if right == "gb18030" and len(new) < 6 else -1.5
                 else:
                     gain += 3.0 if not lost else -1.0  # valid sequences of several bytes are no accident
                 if gain > (best[0] if best else 2.0):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockloom.llm import mojibake
+from blockloom.llm import lookalikes, mojibake
 from blockloom.tables import table
 
 
@@ -15,5 +15,13 @@ def p1_restored(spark, sf):
     return got.where("garbled").select("field", "record_key", "restored", "recovered").distinct()
 
 
+def p6_found(spark, sf):
+    return lookalikes.found(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"))
+
+
+def p6_normalized(spark, sf):
+    return lookalikes.normalize(table(spark, sf, "blocks")).distinct()
+
+
 QUERIES = {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 ORACLE_SQL: dict[str, str] = {}
