@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockloom.llm import lookalikes, mojibake
+from blockloom.llm import lookalikes, markup, mojibake
 from blockloom.tables import table
 
 
@@ -15,6 +15,14 @@ def p1_restored(spark, sf):
     return got.where("garbled").select("field", "record_key", "restored", "recovered").distinct()
 
 
+def p2_found(spark, sf):
+    return markup.found(table(spark, sf, "blocks"))
+
+
+def p2_clean(spark, sf):
+    return markup.clean(table(spark, sf, "blocks"))
+
+
 def p6_found(spark, sf):
     return lookalikes.found(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"))
 
