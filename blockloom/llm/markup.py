@@ -223,8 +223,10 @@ def render(text: str, tree: Tree, block_type: str, depth: int = 1) -> tuple[str,
         out.append(body if kind != "table" or body or b - a > 400 else "")
         at = b
     out.append(clean(text[at:], at))
-    if depth and "entity" in tree.kinds() and any(k == "tag" for k, *_ in (more := Tree("".join(out))).nodes):  # escaped markup
-        return render("".join(out), more, block_type, 0)
+    if depth and "entity" in tree.kinds():  # escaped markup
+        more = Tree("".join(out))
+        if "tag" in more.kinds():
+            return render("".join(out), more, block_type, 0)
     done = re.sub(r"[ \t]+\n", "\n", "".join(out))
     done = re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\| *(?=\n|$)", "", done.replace("~", " ") if any(k in ("cmd", "env") for k in tree.kinds()) else done)).strip()
     kinds = set(tree.kinds())
