@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockloom.llm import lookalikes, markup, mojibake
+from blockloom.llm import lookalikes, markup, mojibake, scans
 from blockloom.tables import table
 
 
@@ -23,6 +23,14 @@ def p2_clean(spark, sf):
     return markup.clean(table(spark, sf, "blocks"))
 
 
+def p3_found(spark, sf):
+    return scans.found(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"))
+
+
+def p3_repaired(spark, sf):
+    return scans.repaired(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"))
+
+
 def p6_found(spark, sf):
     return lookalikes.found(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"))
 
