@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockloom.llm import lookalikes, markup, mojibake, scans
+from blockloom.llm import boilerplate, lookalikes, markup, mojibake, repeats, scans
 from blockloom.tables import table
 
 
@@ -31,6 +31,14 @@ def p3_repaired(spark, sf):
     return scans.repaired(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"))
 
 
+def p5_found(spark, sf):
+    return repeats.found(table(spark, sf, "blocks"))
+
+
+def p5_texts(spark, sf):
+    return repeats.remove(table(spark, sf, "blocks"))
+
+
 def p6_found(spark, sf):
     return lookalikes.found(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"))
 
@@ -39,5 +47,24 @@ def p6_normalized(spark, sf):
     return lookalikes.normalize(table(spark, sf, "blocks")).distinct()
 
 
+def p7_found(spark, sf):
+    return boilerplate.found(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"), table(spark, sf, "sites"))
+
+
+def p7_body(spark, sf):
+    return boilerplate.body(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"), table(spark, sf, "sites"))
+
+
 QUERIES = {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": r"""
+        WITH lines AS (
+            SELECT site, document_id, block_id, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, unnest(string_split(text, chr(10))) AS line
+            FROM (SELECT DISTINCT site, document_id, block_id, text FROM blocks
+                  WHERE block_type IN ('paragraph', 'list_item') AND site IS NOT NULL AND text IS NOT NULL)
+        ), keyed AS (SELECT site, document_id, block_id, line_no, regexp_replace(lower(line), '[^\p{L}]', '', 'g') AS k FROM lines),
+        often AS (SELECT site, k, count(DISTINCT document_id) AS n FROM keyed WHERE length(k) >= 5 GROUP BY site, k),
+        sized AS (SELECT site, count(DISTINCT document_id) AS m FROM blocks WHERE site IS NOT NULL GROUP BY site)
+        SELECT DISTINCT block_id, line_no FROM keyed JOIN often USING (site, k) JOIN sized USING (site) WHERE n >= 4 AND n >= 0.08 * m
+    """,
+}
