@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockloom.llm import boilerplate, lookalikes, markup, mojibake, repeats, scans
+from blockloom.llm import boilerplate, lookalikes, markup, mojibake, repeats, scans, subjects
 from blockloom.tables import table
 
 
@@ -55,6 +55,18 @@ def p7_body(spark, sf):
     return boilerplate.body(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"), table(spark, sf, "sites"))
 
 
+def _subjects(spark, sf):
+    return table(spark, sf, "documents"), table(spark, sf, "subject_areas"), table(spark, sf, "subject_labels")
+
+
+def p10_found(spark, sf):
+    return subjects.found(*_subjects(spark, sf))
+
+
+def p10_composition(spark, sf):
+    return subjects.composition(*_subjects(spark, sf))
+
+
 QUERIES = {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 ORACLE_SQL: dict[str, str] = {
     "p5_found": r"""
