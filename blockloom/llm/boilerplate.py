@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.lookalikes import Normalizer
 from blockloom.llm.markup import Tree, render
+from blockloom.tables import ensure_checkpoint_dir
 
 #: Importance at or below which a node is boilerplate, and the pages a site must have it on.
 IMPORTANCE, LEAST_PAGES, LEAST_SHARE = 0.55, 3, 0.02
@@ -179,7 +180,8 @@ def _title_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classified(blocks: DataFrame, documents: DataFrame, sites: DataFrame) -> DataFrame:
     """(document_id, block_id, line_no, boilerplate) of every line with letters."""
-    lines = nodes(blocks, documents, sites)
+    ensure_checkpoint_dir(blocks.sparkSession)
+    lines = nodes(blocks, documents, sites).checkpoint()  # four parts of the plan read it
     low = unimportant(lines).withColumn("low", F.lit(True))
     own = _pages(documents).select("document_id", "title").mapInArrow(_title_keys, "document_id string, own bigint")
     rows = lines.join(low, "node", "left").join(low.select(F.col("node").alias("first"), F.col("low").alias("path")), "first", "left").join(own, "document_id", "left")
