@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockloom.llm import boilerplate, lookalikes, markup, mojibake, repeats, scans, subjects
+from blockloom.llm import boilerplate, lookalikes, markup, mixing, mojibake, repeats, scans, subjects, tokens
 from blockloom.tables import table
 
 
@@ -55,6 +55,18 @@ def p7_body(spark, sf):
     return boilerplate.body(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"), table(spark, sf, "sites"))
 
 
+def p8_ids(spark, sf):
+    return tokens.encode(table(spark, sf, "documents"))
+
+
+def p9_mix(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 def _subjects(spark, sf):
     return table(spark, sf, "documents"), table(spark, sf, "subject_areas"), table(spark, sf, "subject_labels")
 
