@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, TERM_BITS, DIM, CLUSTERS, ROUNDS = 4000, 16, 96, 8, 8
+from blockloom.llm.arrow import code_points
+
+SAMPLE, TERM_BITS, DIM, CLUSTERS, ROUNDS = 4000, 16, 64, 8, 8
 SHARE = 0.2
 _SIZE = 1 << TERM_BITS
-_WORD = re.compile(r"[^\W\d_㐀-鿿぀-ヿ가-힯]{2,}|[㐀-鿿぀-ヿ가-힯]+")
+_WORD = re.compile(r"[^\W\d_㐀-鿿぀-ヿ가-힯]{2,}")
+_ALPHABETIC = re.compile(r"[^\W\d_㐀-鿿぀-ヿ가-힯]{2}")
 _END = re.compile(r"(?<=[。！？])|(?<=[.!?…])\s+(?=[\"'“«„(\[A-ZÀ-ÞĀ-Ž0-9•-])|[\r\n  \x85]+")
-_WORDLIKE = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"(?:[^\W\d_][\W\d_]*){4}")
 
 
 def sentences(text: str | None) -> list[str]:
@@ -43,30 +46,44 @@ def sentences(text: str | None) -> list[str]:
 
 def is_sentence(s: str) -> bool:
     """More than a mark, a heading or a fragment: letters, and an end."""
-    return s[-1] in "。！？.!?…”\"»)）" and len(_WORDLIKE.findall(s)) >= 4
-
-
-def terms(text: str, memo: dict) -> np.ndarray:
-    """The hashed terms of a text, in order."""
-    out = []
-    for w in _WORD.findall(text.lower()):
-        got = memo.get(w)
-        if got is None:
-            parts = [w[i : i + 2] for i in range(max(1, len(w) - 1))] if w[0] >= "぀" else [w]
-            got = memo[w] = [zlib.crc32(p.encode("utf-8", "surrogatepass")) & (_SIZE - 1) for p in parts]
-        out += got
+    return s[-1] in "。！？.!?…”\"»)）" and _WORDLIKE.search(s) is not None
+
+
+def bags(texts: list[str], memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed terms of texts one after the other, and which text each belongs to, in order of the texts."""
+    codes, offsets = code_points(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    wide = (codes >= 0x3040) & (codes < 0xD7B0)
+    pair = wide[:-1] & wide[1:] & (owner[:-1] == owner[1:]) if len(codes) > 1 else np.zeros(0, bool)
+    at = np.flatnonzero(pair)
+    mixed = codes[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes[at + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    ids, whose = [(mixed >> np.uint64(64 - TERM_BITS)).astype(np.int64)], [owner[at]]
+    for i, text in enumerate(texts):
+        if not _ALPHABETIC.search(text):
+            continue
+        words = _WORD.findall(text.lower())
+        try:
+            own = [memo[w] for w in words]
+        except KeyError:
+            memo.update((w, zlib.crc32(w.encode("utf-8", "surrogatepass")) & (_SIZE - 1)) for w in words)
+            own = [memo[w] for w in words]
+        ids.append(np.array(own, np.int64))
+        whose.append(np.full(len(own), i))
     if len(memo) > 300_000:
         memo.clear()
-    return np.array(out, np.int64)
+    ids, whose = np.concatenate(ids), np.concatenate(whose)
+    order = np.argsort(whose, kind="stable")
+    return ids[order], whose[order]
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, memo, n = np.zeros(_SIZE, np.int64), {}, 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text and text.strip():
-                n += 1
-                df[np.unique(terms(text, memo))] += 1
+    for big in batches:
+        for start in range(0, big.num_rows, 500):
+            texts = [t for t in big.column(0).slice(start, 500).to_pylist() if t and t.strip()]
+            n += len(texts)
+            ids, whose = bags(texts, memo)
+            df += np.bincount(np.unique(whose * _SIZE + ids) % _SIZE, minlength=_SIZE)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], names=["term", "n"])
 
@@ -75,10 +92,11 @@ class Model:
     """Weights of the terms, embedding, centroids and threshold; small enough to broadcast (SIZE x DIM floats)."""
 
     def __init__(self, texts: list[str], labels: list[set[str]], areas: list[str], df: np.ndarray, n: int) -> None:
-        self.areas, memo = areas, {}
-        bags = [np.unique(terms(t, memo), return_counts=True) for t in texts]
+        self.areas, self.memo, self.scores = areas, {}, None
+        ids, whose = bags(texts, self.memo)
+        own_bags = [np.unique(x, return_counts=True) for x in np.split(ids, np.searchsorted(whose, np.arange(1, len(texts))))] if texts else []
         spread = np.full((len(areas), _SIZE), 0.0)
-        for (at, _), own in zip(bags, labels):
+        for (at, _), own in zip(own_bags, labels):
             for a in own:
                 spread[areas.index(a), at] += 1.0 / len(own)
         each = np.array([max(1.0, sum(a in own for own in labels)) for a in areas])
@@ -87,13 +105,12 @@ class Model:
         uneven = 1 + (p * np.log(p)).sum(0) / np.log(max(2, len(areas)))
         seen = spread.sum(0)
         self.weight = (np.log((1 + n) / (1 + df)) * np.maximum(uneven, 0) ** 1.5 * (seen / (seen + 2))).astype(np.float32)
-        self.memo: dict = {}
-        self._decompose(bags)
+        self._decompose(own_bags)
         self._centroids(texts, labels)
 
-    def _decompose(self, bags: list) -> None:
+    def _decompose(self, own_bags: list) -> None:
         rng = np.random.default_rng(11)
-        cols = [(at, (1 + np.log(c)) * self.weight[at]) for at, c in bags]
+        cols = [(at, (1 + np.log(c)) * self.weight[at]) for at, c in own_bags]
         cols = [(at, v / max(1e-9, np.linalg.norm(v))) for at, v in cols]
         y = np.zeros((_SIZE, DIM), np.float32)
         q = None
@@ -105,14 +122,21 @@ class Model:
             q, _ = np.linalg.qr(y)
         self.embed = q.astype(np.float32)
 
+    def sums(self, texts: list[str], rows: np.ndarray) -> np.ndarray:
+        """Of each text the sum of its terms' rows, over the root of their number."""
+        out = np.zeros((len(texts), rows.shape[1]), np.float32)
+        ids, whose = bags(texts, self.memo)
+        if len(ids):
+            first = np.flatnonzero(np.diff(whose, prepend=-1))
+            n = np.diff(np.append(first, len(ids)))
+            out[whose[first]] = np.add.reduceat(rows[ids], first) / np.sqrt(n)[:, None]
+        return out
+
     def vectors(self, texts: list[str]) -> np.ndarray:
         """Embeddings whose lengths tell how much the texts say about any area."""
-        out = np.zeros((len(texts), DIM), np.float32)
-        for i, t in enumerate(texts):
-            at = terms(t, self.memo)
-            if len(at):
-                out[i] = (self.weight[at] @ self.embed[at]) / np.sqrt(len(at))
-        return out
+        weighted = self.weight[:, None] * self.embed
+        parts = [self.sums(texts[i : i + 2000], weighted) for i in range(0, len(texts), 2000)]
+        return np.concatenate(parts) if parts else np.zeros((0, DIM), np.float32)
 
     def _centroids(self, texts: list[str], labels: list[set[str]]) -> None:
         pure = [(a, t) for t, own in zip(texts, labels) if len(own) == 1 for a in own]
@@ -189,16 +213,20 @@ class Model:
         k = at[len(at) // 2]
         self.threshold = float(np.sqrt(edges[k] * edges[k + 1]))
 
-    def shares(self, text: str | None) -> dict[str, float]:
-        """Of each area, the share of the text's sentences that deal with it."""
-        parts = sentences(text)
-        if not parts or not len(self.centroids):
-            return {}
-        v = self.vectors(parts)
-        score = v @ self.centroids.T
-        hit = score.max(1) >= self.threshold
-        counts = np.bincount(self.owner[score.argmax(1)][hit], minlength=len(self.areas))
-        return {a: n / len(parts) for a, n in zip(self.areas, counts.tolist()) if n}
+    def shares(self, texts: list[str | None]) -> list[tuple[int, str, float]]:
+        """(position of the text, area, share of its sentences that deal with the area)."""
+        if not len(self.centroids):
+            return []
+        if self.scores is None:  # length times cosine is linear in the terms: one row of scores a term
+            self.scores = (self.weight[:, None] * self.embed) @ self.centroids.T
+        parts = [sentences(t) for t in texts]
+        n = np.array([len(p) for p in parts], np.int64)
+        score = self.sums([s for p in parts for s in p], self.scores)
+        doc = np.repeat(np.arange(len(texts)), n)
+        hit = score.max(1) >= self.threshold if len(score) else np.zeros(0, bool)
+        k = len(self.areas)
+        counts = np.bincount(doc[hit] * k + self.owner[score.argmax(1)][hit], minlength=len(texts) * k) if len(score) else np.zeros(0, np.int64)
+        return [(i // k, self.areas[i % k], counts[i] / n[i // k]) for i in np.flatnonzero(counts).tolist()]
 
 
 def fit(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> Model:
@@ -220,7 +248,8 @@ def _assign(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
         for batch in batches:
-            rows = [(i, a, s) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, s in model.shares(text).items()]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [(ids[start + i], a, s) for start in range(0, len(texts), 200) for i, a, s in model.shares(texts[start : start + 200])]
             cols = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["doc_id", "area", "share"])
 
