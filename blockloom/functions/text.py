@@ -57,36 +57,41 @@ def table_from_rows(rows: Column | str, caption: Column | None = None) -> Column
 
 
 def table_to_markdown(table: Column | str) -> Column:
-    """A pipe table: headers, rule, rows, all as wide as the widest; '' for null and for a table without cells."""
+    """A pipe table as wide as its widest row: the headers, or without any the first row, a rule, the rows; '' for null and for no rows."""
     t = col(table)
     heads = F.coalesce(t["headers"], F.array().cast("array<string>"))
     rows = F.coalesce(t["rows"], F.array().cast("array<array<string>>"))
-    width = F.greatest(F.size(heads), F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0)))
+    every = F.when(F.size(heads) > 0, F.concat(F.array(heads), rows)).otherwise(rows)
+    width = F.coalesce(F.array_max(F.transform(every, lambda r: F.size(r))), F.lit(0))
     line = lambda r: F.concat(F.lit("| "), F.array_join(_padded(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), width), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    return F.when(t.isNull() | (width == 0), "").otherwise(F.array_join(F.concat(F.array(line(heads), rule), F.transform(rows, line)), "\n"))
+    lines = F.transform(every, line)
+    return F.when(t.isNull() | (F.size(every) == 0), "").otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0)))), "\n"))
 
 
 def row_to_labeled_text(headers: Column | str, row: Column | str) -> Column:
-    """``head: cell`` for each cell with text, joined by ；; a missing head is 列 and its number; without heads only the cells."""
+    """``head: cell`` of each column that has either, joined by ；; beyond the headers a head is 列 and its number; an empty head leaves the cell."""
     h, r = F.coalesce(col(headers), F.array().cast("array<string>")), F.coalesce(col(row), F.array().cast("array<string>"))
-    pairs = F.transform(r, lambda c, i: F.struct(normalize_text(c).alias("c"), F.when(F.coalesce(F.get(h, i), F.lit("")) != "", F.get(h, i)).otherwise(F.concat(F.lit("列"), (i + 1).cast("string"))).alias("h")))
-    kept = F.filter(pairs, lambda p: p["c"] != "")
-    return F.array_join(F.transform(kept, lambda p: F.when(F.size(h) == 0, p["c"]).otherwise(F.concat(p["h"], F.lit(": "), p["c"]))), "；")
+    at = F.when(F.greatest(F.size(h), F.size(r)) > 0, F.sequence(F.lit(0), F.greatest(F.size(h), F.size(r), F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    head = lambda i: F.when(i >= F.size(h), F.concat(F.lit("列"), (i + 1).cast("string"))).otherwise(normalize_text(F.get(h, i)))
+    pairs = F.transform(at, lambda i: F.struct(head(i).alias("h"), normalize_text(F.get(r, i)).alias("c")))
+    kept = F.filter(pairs, lambda p: (p["h"] != "") | (p["c"] != ""))
+    return F.array_join(F.transform(kept, lambda p: F.when(p["h"] == "", p["c"]).otherwise(F.concat(p["h"], F.lit(": "), p["c"]))), "；")
 
 
 def main_text(block_type: Column | str, text: Column | str, table: Column | str, image: Column | str) -> Column:
     """What a block says: its table as a pipe table, its image's text or caption, or its text."""
     kind, img = col(block_type), col(image)
     some = lambda x: F.when(x != "", x)
-    return F.when((kind == "table") & col(table).isNotNull(), table_to_markdown(table)).when((kind == "image") & img.isNotNull(), F.coalesce(some(img["ocr_text"]), some(img["caption"]), F.lit(""))).otherwise(F.coalesce(col(text), F.lit("")))
+    return F.when((kind == "table") & col(table).isNotNull(), table_to_markdown(table)).when((kind == "image") & img.isNotNull(), normalize_text(F.coalesce(some(img["ocr_text"]), some(img["caption"])))).otherwise(normalize_text(text))
 
 
 def context_prefix(title: Column | str, city: Column, category: Column, year: Column, heading_path: Column | str) -> Column:
     """Labelled context (文档, 城市, 类别, 年份, 章节), what is empty left out, joined by 。"""
     part = lambda label, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(label + "："), x))
-    path = F.array_join(F.filter(F.coalesce(col(heading_path), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != ""), " > ")
-    return F.concat_ws("。", part("文档", col(title)), part("城市", city), part("类别", category), part("年份", year), part("章节", path))
+    steps = F.coalesce(col(heading_path), F.array().cast("array<string>"))
+    path = F.when(F.size(steps) > 0, F.concat(F.lit("章节："), F.array_join(F.transform(steps, lambda x: F.coalesce(x, F.lit(""))), " > ")))
+    return F.concat_ws("。", part("文档", col(title)), part("城市", city), part("类别", category), part("年份", year), path)
 
 
 def preview(text: Column | str, table: Column | str, image: Column | str, length: int = 240) -> Column:

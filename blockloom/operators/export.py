@@ -23,7 +23,8 @@ def document_markdown(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     rows = blocks.where(~F.coalesce("excluded_from_retrieval", F.lit(False))).withColumn("md", block_markdown()).where("md <> ''")
     body = rows.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_order", F.coalesce("page_start", F.lit(0)).alias("p"), "block_id", "md"))), lambda s: s["md"]), "\n\n").alias("body"))
     out = documents.select("document_id", F.coalesce("title", F.lit("")).alias("title")).join(body, "document_id", "left")
-    return out.select("document_id", F.concat(F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), "body"), F.lit("\n")).alias("markdown"))
+    whole = F.concat_ws("\n\n", F.when(F.col("title") != "", F.concat(F.lit("# "), "title")), "body")
+    return out.select("document_id", F.concat(F.regexp_replace(whole, r"(?U)[\s\x1c-\x1f]+\z", ""), F.lit("\n")).alias("markdown"))
 
 
 def document_json(blocks: DataFrame, documents: DataFrame) -> DataFrame:
