@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEEPEST = 16
-_BY = Window.partitionBy("document_id").orderBy("pos")
-_SO_FAR = _BY.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _by():
+    return Window.partitionBy("document_id").orderBy("pos")
+
+
+def _so_far():
+    return _by().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _box(i: int) -> Column:
@@ -30,7 +36,7 @@ def merge_paragraphs(blocks: DataFrame) -> DataFrame:
     A part follows the one before if both are paragraphs with text and box, it is on the next page, in its upper quarter,
     longer than ten signs, the one before doesn't end a sentence, and the head of the chain lies in the lower 30 % of its page.
     """
-    lag = lambda c: F.lag(c).over(_BY)
+    lag = lambda c: F.lag(c).over(_by())
     t = F.coalesce("text", F.lit(""))
     rows = blocks.withColumn("__has", (F.col("block_type") == "paragraph") & (t != "") & (F.size("bbox") == 4))
     follows = (
@@ -39,12 +45,12 @@ def merge_paragraphs(blocks: DataFrame) -> DataFrame:
         & (F.col("page_height") > 0) & (_box(1) <= F.col("page_height") * 0.25)
         & ~lag("text").rlike("[。！？.!?；;：:]$") & (F.length(t) > 10)
     )
-    low = (F.lag("page_height").over(_BY) > 0) & (F.lag(_box(3)).over(_BY) >= F.lag("page_height").over(_BY) * 0.70)
+    low = (F.lag("page_height").over(_by()) > 0) & (F.lag(_box(3)).over(_by()) >= F.lag("page_height").over(_by()) * 0.70)
     rows = rows.withColumn("__c", F.coalesce(follows, F.lit(False))).withColumn("__low", F.coalesce(low, F.lit(False)))
-    rows = rows.withColumn("__island", F.sum(F.when(F.col("__c"), 0).otherwise(1)).over(_SO_FAR))
+    rows = rows.withColumn("__island", F.sum(F.when(F.col("__c"), 0).otherwise(1)).over(_so_far()))
     chain = Window.partitionBy("document_id", "__island").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     link = F.col("__c") & F.coalesce(F.max(F.when(F.col("__c"), F.col("__low"))).over(chain), F.lit(False))
-    rows = rows.withColumn("__link", link).withColumn("__group", F.sum(F.when(F.col("__link"), 0).otherwise(1)).over(_SO_FAR))
+    rows = rows.withColumn("__link", link).withColumn("__group", F.sum(F.when(F.col("__link"), 0).otherwise(1)).over(_so_far()))
     whole = Window.partitionBy("document_id", "__group").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     parts = F.collect_list(F.struct("pos", "text", "block_id")).over(whole)
     rows = rows.withColumn("__parts", F.array_sort(parts)).withColumn("__last", F.last("page_end").over(whole))
@@ -63,10 +69,10 @@ def merge_tables(blocks: DataFrame) -> DataFrame:
     """A table that goes on on the next page under the same headers is one block: rows one after the other."""
     heads = F.col("table_data.headers")
     same = (
-        (F.col("block_type") == "table") & (F.lag("block_type").over(_BY) == "table") & (F.col("page_start") == F.lag("page_end").over(_BY) + 1)
-        & (F.size(heads) > 0) & (heads == F.lag(heads).over(_BY))
+        (F.col("block_type") == "table") & (F.lag("block_type").over(_by()) == "table") & (F.col("page_start") == F.lag("page_end").over(_by()) + 1)
+        & (F.size(heads) > 0) & (heads == F.lag(heads).over(_by()))
     )
-    rows = blocks.withColumn("__link", F.coalesce(same, F.lit(False))).withColumn("__group", F.sum(F.when(F.col("__link"), 0).otherwise(1)).over(_SO_FAR))
+    rows = blocks.withColumn("__link", F.coalesce(same, F.lit(False))).withColumn("__group", F.sum(F.when(F.col("__link"), 0).otherwise(1)).over(_so_far()))
     whole = Window.partitionBy("document_id", "__group").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     is_table = F.col("block_type") == "table"
     part = F.struct("pos", F.coalesce(F.col("table_data.rows"), F.array().cast("array<array<string>>")).alias("rows"), "block_id")
@@ -88,12 +94,12 @@ def heading_paths(blocks: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     taken from the data by a fold over the document's headings, which costs an array for each heading.
     """
     pushes = (F.col("block_type") == "heading") & (F.coalesce("text", F.lit("")) != "") & ~F.coalesce("excluded_from_retrieval", F.lit(False))
-    rows = blocks.withColumn("__push", F.coalesce(pushes, F.lit(False))).withColumn("__k", F.sum(F.when(F.col("__push"), 1).otherwise(0)).over(_SO_FAR))
+    rows = blocks.withColumn("__push", F.coalesce(pushes, F.lit(False))).withColumn("__k", F.sum(F.when(F.col("__push"), 1).otherwise(0)).over(_so_far()))
     keeps = F.greatest(F.coalesce("heading_level", F.lit(1)) - 1, F.lit(0))
-    least = F.min(F.when(F.col("__push"), keeps + 1 - F.col("__k"))).over(_SO_FAR)
+    least = F.min(F.when(F.col("__push"), keeps + 1 - F.col("__k"))).over(_so_far())
     rows = rows.withColumn("__depth", F.col("__k") + F.least(F.lit(0), F.coalesce(least, F.lit(0)))).withColumn("__depth", F.when(F.col("__push"), F.col("__depth")))
-    rows = rows.withColumn("__open", F.coalesce(F.last("__depth", ignorenulls=True).over(_SO_FAR), F.lit(0)))
-    steps = [F.last(F.when(F.col("__push") & (F.col("__depth") == d), F.col("text")), ignorenulls=True).over(_SO_FAR) for d in range(1, deepest + 1)]
+    rows = rows.withColumn("__open", F.coalesce(F.last("__depth", ignorenulls=True).over(_so_far()), F.lit(0)))
+    steps = [F.last(F.when(F.col("__push") & (F.col("__depth") == d), F.col("text")), ignorenulls=True).over(_so_far()) for d in range(1, deepest + 1)]
     rows = rows.withColumn("__steps", F.array(*steps))
     path = F.when(F.col("__open") > 0, F.slice("__steps", F.lit(1), F.greatest("__open", F.lit(1)).cast("int"))).otherwise(F.array().cast("array<string>"))
     own = F.coalesce(F.size("heading_path") > 0, F.lit(False)) & ~F.col("__push") & ~F.coalesce("excluded_from_retrieval", F.lit(False))
@@ -103,4 +109,4 @@ def heading_paths(blocks: DataFrame, deepest: int = DEEPEST) -> DataFrame:
 def repair(blocks: DataFrame) -> DataFrame:
     """Reading order, paragraphs, tables, heading paths; pos is counted anew."""
     out = heading_paths(merge_tables(merge_paragraphs(reading_order(blocks))))
-    return out.withColumn("pos", F.row_number().over(_BY))
+    return out.withColumn("pos", F.row_number().over(_by()))
