@@ -36,7 +36,7 @@ def lines(words: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     """(document_id, page, line, text, x0, top, x1, bottom, word_count, is_header_footer).
 
     A word belongs to the line before if its top is within 3 of the mean top of that line's words so far."""
-    w = F.struct("top", "x0", "x1", "bottom", normalize_text("text").alias("text"), F.monotonically_increasing_id().alias("tie"))
+    w = F.struct("top", "x0", "x1", "bottom", normalize_text("text").alias("text"))
     pages = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(w)).alias("ws"))
     start = F.struct(F.lit(0).alias("line"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
 
@@ -48,7 +48,7 @@ def lines(words: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     placed = pages.withColumn("at", F.aggregate("ws", start, step)["at"])
     rows = placed.select(*PAGE, F.explode(F.arrays_zip("ws", "at")).alias("z")).select(*PAGE, F.col("z.at").alias("line"), "z.ws.*")
     per_line = rows.groupBy(*PAGE, "line").agg(
-        F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("x0", "tie", "x1", "text")))).alias("ws"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.count("*").alias("word_count")
+        F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("x0", "x1", "text")))).alias("ws"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.count("*").alias("word_count")
     )
     spaced = F.transform("ws", lambda x, i: F.when((i > 0) & (x["x0"] - F.get("ws", i - 1)["x1"] > WORD_GAP) & _glue(F.get("ws", i - 1)["text"], x["text"]), F.concat(F.lit(" "), x["text"])).otherwise(x["text"]))
     out = per_line.withColumn("text", normalize_text(F.array_join(spaced, ""))).where("text <> ''").drop("ws")

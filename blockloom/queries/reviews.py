@@ -1,4 +1,185 @@
-"""Queries."""
+"""Queries of review logs, revisions and differences."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from blockloom.operators import export, review, revisions
+from blockloom.queries.text import B, blocks
+from blockloom.tables import table
+
+
+def _log(spark, sf):
+    """The log of decisions, each record once."""
+    return table(spark, sf, "ocr_decisions").dropDuplicates(["seq"])
+
+
+def _tasks(spark, sf):
+    """A task for every review of the log, and one for every scanned page's document that has none: here the reviews themselves."""
+    log = table(spark, sf, "ocr_decisions")
+    return log.groupBy("review_id").agg(F.min("document_id").alias("document_id"), F.min("page_number").alias("page_number"))
+
+
+def _results(spark, sf):
+    """An OCR result for every second decision that asked for one."""
+    return _log(spark, sf).where("selected_action in ('run_ocr', 'retry_ocr') and seq % 2 = 0").select("review_id", "seq", F.col("decision_id").alias("requested_decision_id"))
+
+
+def _applied(spark, sf):
+    return _log(spark, sf).where("seq % 5 = 0").select("review_id", "decision_id")
+
+
+def _states(spark, sf):
+    return review.task_states(_tasks(spark, sf), _log(spark, sf), _results(spark, sf), _applied(spark, sf))
+
+
+def latest_decision(spark, sf):
+    return review.latest(_log(spark, sf)).select("review_id", "decision_id", "selected_action", F.col("seq").cast("bigint").alias("seq"))
+
+
+def task_states(spark, sf):
+    return _states(spark, sf).select("review_id", "status", "review_stage")
+
+
+def review_progress(spark, sf):
+    out = review.progress(_states(spark, sf))
+    return out.select("document_id", *(F.col(c).cast("bigint").alias(c) for c in ("tasks", "pending", "ocr_requested", "ocr_result_ready", "decided", "applied")), F.array_join(F.transform("applied_pages", lambda p: p.cast("string")), ",").alias("applied_pages"))
+
+
+def review_queue(spark, sf):
+    return review.queue(_states(spark, sf)).select("review_id", "status")
+
+
+def decision_errors(spark, sf):
+    # Some records without a reviewer or with an action nobody may choose.
+    log = _log(spark, sf).withColumn("reviewer", F.when(F.col("seq") % 10 == 0, " ").otherwise(F.col("reviewer"))).withColumn("selected_action", F.when(F.col("seq") % 7 == 0, "delete").otherwise(F.col("selected_action")))
+    return review.decision_errors(log).select("decision_id", F.explode("errors").alias("error"))
+
+
+def run_status(spark, sf):
+    return review.run_status(_states(spark, sf))
+
+
+def new_tasks(spark, sf):
+    tasks = _tasks(spark, sf).withColumn("created_at", F.col("page_number"))
+    existing = tasks.where("page_number = 1")
+    return review.create_tasks(existing, tasks.unionByName(tasks.where("page_number = 2")))[0].select("review_id")
+
+
+def refused_tasks(spark, sf):
+    tasks = _tasks(spark, sf).withColumn("created_at", F.col("page_number"))
+    existing = tasks.where("page_number = 1")
+    return review.create_tasks(existing, tasks.unionByName(tasks.where("page_number = 2")))[1].select("review_id")
+
+
+def applied_blocks(spark, sf):
+    d = review.latest(_log(spark, sf)).select("review_id", "document_id", "selected_action", "native_block_ids", F.array(F.lit("all")).alias("ocr_block_ids"), "page_number")
+    pages = d.select("review_id", "document_id", F.col("page_number").alias("page_start"))
+    native = blocks(spark, sf).select("document_id", "block_id", "page_start", "quality_flags").join(pages, ["document_id", "page_start"])
+    ocr = native.withColumn("block_id", F.concat("block_id", F.lit("_ocr")))
+    out = review.apply_decisions(d.drop("document_id", "page_number"), native, ocr)
+    return out.select("review_id", "block_id", "final_source")
+
+
+def finalized_blocks(spark, sf):
+    none = blocks(spark, sf).where("false")
+    return review.finalize(blocks(spark, sf), _states(spark, sf), none).select("block_id", F.col("block_order").cast("bigint").alias("block_order"))
+
+
+def structure_result(spark, sf):
+    b = blocks(spark, sf).where("array_contains(quality_flags, 'merged_cross_page_paragraph')")
+    tasks = b.select(F.concat(F.lit("s_"), "block_id").alias("review_id"), F.col("block_id").alias("object_id"), F.lit("cross_page_paragraph").alias("review_type"))
+    action = F.when(F.col("block_order") % 3 == 0, "approve").when(F.col("block_order") % 3 == 1, "correct_text").otherwise("exclude_block")
+    decisions = b.select(F.concat(F.lit("s_"), "block_id").alias("review_id"), F.col("block_order").alias("seq"), action.alias("selected_action"), F.concat(F.lit("corrected "), "text").alias("corrected_text"))
+    out = review.apply_structure(blocks(spark, sf), tasks, decisions)
+    return out.select("block_id", "text", "excluded_from_retrieval", F.array_join("quality_flags", ",").alias("flags"))
+
+
+def _revisions(spark, sf):
+    s = review.run_status(_states(spark, sf))
+    base = s.select("document_id", F.lit("base_run").alias("source"), F.concat(F.lit("base_"), "document_id").alias("revision_id"), F.lit(None).cast("string").alias("base_revision_id"), F.lit("completed").alias("status"), F.lit(1).alias("seq"))
+    ocr = s.select("document_id", F.lit("ocr_review").alias("source"), F.col("finalization_id").alias("revision_id"), F.concat(F.lit("base_"), "document_id").alias("base_revision_id"), F.col("run_status").alias("status"), F.lit(2).alias("seq"))
+    manual = s.where("right(document_id, 1) in ('0', '2', '4', '6', '8', 'a')").select("document_id", F.lit("manual_revision").alias("source"), F.concat(F.lit("manual_"), "document_id").alias("revision_id"), F.when(F.expr("right(document_id, 1) in ('0', '4', '8')"), F.col("finalization_id")).otherwise(F.concat(F.lit("base_"), "document_id")).alias("base_revision_id"), F.lit("completed").alias("status"), F.lit(3).alias("seq"))
+    return base.unionByName(ocr).unionByName(manual)
+
+
+def effective_revision(spark, sf):
+    return revisions.effective(_revisions(spark, sf))
+
+
+def block_difference(spark, sf):
+    old = blocks(spark, sf).where("block_order % 7 <> 0")
+    new = blocks(spark, sf).where("block_order % 11 <> 0").withColumn("text", F.when(F.col("block_order") % 5 == 0, F.concat(F.lit("new "), "text")).otherwise(F.col("text")))
+    out = revisions.difference(old, new, ["text", "page_start"])
+    return out.select("block_id", "change", F.col("rank").cast("bigint").alias("rank"))
+
+
+def amended_blocks(spark, sf):
+    b = blocks(spark, sf)
+    include = b.where("excluded_from_retrieval and block_order % 2 = 0").select("document_id", "block_id")
+    additions = b.where("block_order = 1 and page_start is not null").select("document_id", F.lit(1).alias("seq"), F.col("page_start").alias("page"), F.lit("added").alias("text"))
+    out = revisions.amend(b, include, additions)
+    return out.select("block_id", F.coalesce("excluded_from_retrieval", F.lit(False)).alias("excluded"), F.col("block_order").cast("bigint").alias("block_order"))
+
+
+def missing_ids(spark, sf):
+    named = _log(spark, sf).select(F.explode("native_block_ids").alias("block_id")).distinct()
+    return revisions.missing(named, blocks(spark, sf).where("block_order % 4 <> 0"))
+
+
+def history_search(spark, sf):
+    f = table(spark, sf, "source_files").withColumn("job_id", F.concat(F.lit("job_"), F.coalesce("site", F.lit("none"))))
+    files = F.sort_array(F.collect_list(F.struct("source_id", F.col("original_filename").alias("filename"), F.when(F.col("source_id") % 3 == 0, "failed").otherwise("finalized").alias("status"))))
+    jobs = f.groupBy("job_id").agg(F.min("received_at").alias("created_at"), files.alias("files"))
+    return export.search_history(jobs, "REPORT", "failed").select("job_id", F.col("index").cast("bigint").alias("index"), "filename")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        latest_decision, task_states, review_progress, review_queue, decision_errors, run_status, new_tasks, refused_tasks, applied_blocks, finalized_blocks, structure_result,
+        effective_revision, block_difference, amended_blocks, missing_ids, history_search,
+    )
+}
+
+_L = "l AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY received_at) AS rn FROM ocr_decisions) WHERE rn = 1)"
+_LAST = "la AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY seq DESC) AS rn FROM l) WHERE rn = 1)"
+_T = "t AS (SELECT review_id, min(document_id) AS document_id, min(page_number) AS page_number FROM ocr_decisions GROUP BY 1)"
+_S = f"""{_L}, {_LAST}, {_T}, rs AS (SELECT review_id, arg_max(decision_id, seq) AS answered FROM l WHERE selected_action IN ('run_ocr', 'retry_ocr') AND seq % 2 = 0 GROUP BY 1),
+    s AS (SELECT t.review_id, t.document_id, t.page_number, la.decision_id, la.selected_action, CASE WHEN la.decision_id IS NULL THEN 'pending' WHEN la.seq % 5 = 0 THEN 'applied'
+        WHEN la.selected_action IN ('run_ocr', 'retry_ocr') THEN CASE WHEN rs.answered = la.decision_id THEN 'ocr_result_ready' ELSE 'ocr_requested' END ELSE 'decided' END AS status, CASE WHEN rs.answered IS NOT NULL THEN 'post_ocr' ELSE 'pre_ocr' END AS review_stage
+        FROM t LEFT JOIN la USING (review_id) LEFT JOIN rs USING (review_id))"""
+_R = """r AS (SELECT document_id, CASE WHEN bool_or(status NOT IN ('decided', 'applied')) THEN 'pending_reviews' WHEN bool_or(coalesce(selected_action = 'reject_document', false)) THEN 'blocked' ELSE 'completed' END AS run_status,
+    'final_' || substr(sha256(string_agg(decision_id, '|' ORDER BY decision_id)), 1, 12) AS finalization_id FROM s GROUP BY 1)"""
+
+ORACLE_SQL = {
+    "latest_decision": f"WITH {_L}, {_LAST} SELECT review_id, decision_id, selected_action, seq FROM la",
+    "task_states": f"WITH {_S} SELECT review_id, status, review_stage FROM s",
+    "review_progress": f"""WITH {_S} SELECT document_id, count(*) AS tasks, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'ocr_requested') AS ocr_requested, count(*) FILTER (status = 'ocr_result_ready') AS ocr_result_ready,
+        count(*) FILTER (status = 'decided') AS decided, count(*) FILTER (status = 'applied') AS applied, coalesce(array_to_string(list_sort(list(DISTINCT page_number) FILTER (status = 'applied')), ','), '') AS applied_pages FROM s GROUP BY 1""",
+    "review_queue": f"WITH {_S} SELECT review_id, status FROM s WHERE status IN ('pending', 'ocr_requested', 'ocr_result_ready')",
+    "decision_errors": f"""WITH {_L.replace("l AS", "l0 AS")}, l AS (SELECT * REPLACE (CASE WHEN seq % 10 = 0 THEN ' ' ELSE reviewer END AS reviewer, CASE WHEN seq % 7 = 0 THEN 'delete' ELSE selected_action END AS selected_action) FROM l0), e AS (SELECT decision_id, unnest([CASE WHEN NOT coalesce(selected_action IN ('run_ocr', 'approve_native', 'approve_ocr', 'merge_results', 'retry_ocr', 'exclude_page', 'reject_document'), false) THEN 'action is not allowed' END,
+        CASE WHEN trim(coalesce(reviewer, '')) = '' THEN 'reviewer is required' END, CASE WHEN selected_action = 'merge_results' AND coalesce(len(native_block_ids), 0) = 0 THEN 'merge_results needs block ids' END]) AS error FROM l) SELECT decision_id, error FROM e WHERE error IS NOT NULL""",
+    "run_status": f"WITH {_S}, {_R} SELECT document_id, run_status, finalization_id FROM r",
+    "new_tasks": f"WITH {_T} SELECT review_id FROM t WHERE page_number <> 1",
+    "refused_tasks": f"WITH {_T} SELECT review_id FROM t WHERE page_number IN (1, 2)",
+    "applied_blocks": f"""WITH {B}, {_L}, {_LAST}, n AS (SELECT la.review_id, b.block_id, selected_action, native_block_ids FROM b JOIN la ON la.document_id = b.document_id AND la.page_number = b.page_start)
+        SELECT review_id, block_id, 'native' AS final_source FROM n WHERE selected_action = 'approve_native' OR selected_action = 'merge_results' AND coalesce(list_contains(native_block_ids, block_id) OR list_contains(native_block_ids, 'all'), false)
+        UNION ALL SELECT review_id, block_id || '_ocr', 'ocr' FROM n WHERE selected_action IN ('approve_ocr', 'merge_results')""",
+    "finalized_blocks": f"""WITH {B}, {_S}, {_R}, o AS (SELECT b.* FROM b JOIN r USING (document_id) WHERE run_status = 'completed'), c AS (SELECT DISTINCT s.document_id, page_number FROM s JOIN r USING (document_id) WHERE run_status = 'completed' AND selected_action <> 'approve_native' AND page_number IS NOT NULL),
+        h AS (SELECT DISTINCT o.block_id, o.document_id, o.page_start, o.page_end FROM o JOIN c ON o.document_id = c.document_id AND c.page_number BETWEEN o.page_start AND coalesce(o.page_end, o.page_start)),
+        k AS (SELECT * FROM o WHERE block_id NOT IN (SELECT block_id FROM h) AND document_id NOT IN (SELECT document_id FROM h WHERE page_end > page_start))
+        SELECT block_id, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(page_start, 0), coalesce(bbox[2], 0), coalesce(bbox[1], 0), block_order, block_id)::BIGINT AS block_order FROM k""",
+    "structure_result": f"""WITH {B}, f AS (SELECT block_id FROM b WHERE list_contains(quality_flags, 'merged_cross_page_paragraph')) SELECT b.block_id, CASE WHEN f.block_id IS NOT NULL AND block_order % 3 = 1 AND text IS NOT NULL THEN 'corrected ' || text ELSE text END AS text,
+        coalesce(excluded_from_retrieval, false) OR (f.block_id IS NOT NULL AND block_order % 3 = 2) AS excluded_from_retrieval, array_to_string(CASE WHEN f.block_id IS NOT NULL THEN list_filter(quality_flags, lambda x: x <> 'merged_cross_page_paragraph') ELSE quality_flags END, ',') AS flags FROM b LEFT JOIN f USING (block_id)""",
+    "effective_revision": f"""WITH {_S}, {_R}, v AS (SELECT document_id, CASE WHEN run_status = 'completed' THEN finalization_id ELSE 'base_' || document_id END AS rid, CASE WHEN run_status = 'completed' THEN 'ocr_review' ELSE 'base_run' END AS src,
+        CASE WHEN right(document_id, 1) IN ('0', '4', '8') THEN finalization_id WHEN right(document_id, 1) IN ('2', '6', 'a') THEN 'base_' || document_id END AS mb FROM r)
+        SELECT document_id, CASE WHEN mb = rid THEN 'manual_' || document_id ELSE rid END AS revision_id, CASE WHEN mb = rid THEN 'manual_revision' ELSE src END AS source FROM v""",
+    "block_difference": f"""WITH {B}, o AS (SELECT block_id, text, page_start, block_order FROM b WHERE block_order % 7 <> 0), n AS (SELECT block_id, CASE WHEN block_order % 5 = 0 THEN 'new ' || text ELSE text END AS text, page_start, block_order FROM b WHERE block_order % 11 <> 0)
+        SELECT coalesce(n.block_id, o.block_id) AS block_id, CASE WHEN o.block_id IS NULL THEN 'added' WHEN n.block_id IS NULL THEN 'removed' WHEN o.text IS DISTINCT FROM n.text THEN 'changed' ELSE 'same' END AS change, coalesce(n.block_order, o.block_order)::BIGINT AS rank FROM o FULL JOIN n USING (block_id)""",
+    "amended_blocks": f"""WITH {B}, l AS (SELECT document_id, max(block_order) AS last FROM b GROUP BY 1) SELECT block_id, coalesce(excluded_from_retrieval, false) AND block_order % 2 <> 0 AS excluded, block_order::BIGINT AS block_order FROM b
+        UNION ALL SELECT document_id || '_manual_0001', false, (last + 1)::BIGINT FROM b JOIN l USING (document_id) WHERE block_order = 1 AND page_start IS NOT NULL""",
+    "missing_ids": f"WITH {B}, {_L} SELECT DISTINCT x AS block_id FROM (SELECT unnest(native_block_ids) AS x FROM l) WHERE x NOT IN (SELECT block_id FROM b WHERE block_order % 4 <> 0)",
+    "history_search": """WITH f AS (SELECT 'job_' || coalesce(site, 'none') AS job_id, original_filename AS filename, source_id, row_number() OVER (PARTITION BY 'job_' || coalesce(site, 'none') ORDER BY source_id) - 1 AS "index" FROM source_files)
+        SELECT job_id, "index"::BIGINT AS "index", filename FROM f WHERE source_id % 3 = 0 AND (contains(lower(filename), 'report') OR contains(lower(job_id), 'report'))""",
+}

@@ -19,7 +19,10 @@ def short_dedup(spark, sf):
 
 
 def contents_pages(spark, sf):
-    return clean.mark_contents(blocks(spark, sf)).where("is_contents").select("block_id")
+    # Headings as a table of contents would print them.
+    entry = F.concat("text", F.lit(" ..... "), F.col("block_order").cast("string"))
+    rows = blocks(spark, sf).withColumn("text", F.when(F.col("block_type") == "heading", entry).otherwise(F.col("text")))
+    return clean.mark_contents(rows).where("is_contents").select("block_id")
 
 
 def clean_blocks(spark, sf):
@@ -177,7 +180,7 @@ def _paths(source: str, deepest: int = 16) -> str:
 ORACLE_SQL = {
     "noise_filter": f"WITH {B}, {_N}, {_KEPT} SELECT block_id, text FROM k",
     "short_dedup": f"WITH {B}, {_N}, {_KEPT}, {_UNIQUE} SELECT block_id FROM u",
-    "contents_pages": f"WITH {B}, c AS ({_contents('b')}) SELECT block_id FROM c WHERE is_contents",
+    "contents_pages": f"WITH {B}, p AS (SELECT * REPLACE (CASE WHEN block_type = 'heading' THEN text || ' ..... ' || block_order ELSE text END AS text) FROM b), c AS ({_contents('p')}) SELECT block_id FROM c WHERE is_contents",
     "clean_blocks": f"""WITH {B}, {_N}, {_KEPT}, {_UNIQUE}, c AS ({_contents('u')}) SELECT block_id, text, is_contents OR coalesce(excluded_from_retrieval, false) AS excluded_from_retrieval,
         array_to_string(CASE WHEN is_contents AND NOT coalesce(list_contains(quality_flags, 'table_of_contents'), false) THEN list_append(coalesce(quality_flags, []), 'table_of_contents') ELSE coalesce(quality_flags, []) END, ',') AS flags FROM c""",
     "reading_order": f"WITH {B}, o AS ({_order('b')}) SELECT block_id, pos::BIGINT AS pos FROM o",
