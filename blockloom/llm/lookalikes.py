@@ -70,6 +70,7 @@ def mapping() -> tuple[np.ndarray, dict[int, str]]:
                 kind[cp], to[cp] = MAP, new
             elif 0x2E80 <= cp <= 0x2FDF or 0xF900 <= cp <= 0xFAFF or 0x2F800 <= cp <= 0x2FA1F:
                 kind[cp], to[cp] = MAP, new
+    to[0xF995] = "年"  # a compatibility form of a variant that is used for it
     for a, b in LATIN_LOOKALIKES.items():
         kind[ord(a)], to[ord(a)] = LETTER, b
     return kind, to

@@ -166,7 +166,7 @@ class Restorer:
         codes, offsets = code_points(texts)
         out = np.zeros(len(texts), bool)
         if len(codes) < 2:
-            return out
+            return np.array([bool(t and _MARKS.search(t)) for t in texts], bool)
         plain = codes < 128
         w = np.append(self.improbable(codes), 0.0)
         last = offsets[1:] - 1
@@ -181,7 +181,10 @@ class Restorer:
         out[row[look & ((wide | narrow) | (best >= LEAST_WIDE))]] = True
         some = np.zeros(len(texts), bool)
         some[row[~plain]] = True
-        return out & some
+        marks = (codes == 0xFFFD) | (codes >= 0x80) & (codes < 0xA0) & (codes != 0x85) | (codes >= 0xE000) & (codes < 0xF900)
+        out &= some
+        out[row[marks]] = True
+        return out
 
     def trusted(self, text: str) -> np.ndarray:
         """Scores of the pairs of a text, where the signs of garbling itself count nothing however frequent they are."""
