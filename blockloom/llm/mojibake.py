@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.arrow import code_points
+from blockloom.llm.letters import LATIN_LOOKALIKES
 
 PAIR_BITS = 21
 CHAR_BITS = 17
@@ -42,6 +43,7 @@ NARROW = (
 #: The least score of a segment that is looked at, by whether its signs are East Asian.
 LEAST_WIDE, LEAST_NARROW = 7.0, 1.0
 _MARKS = re.compile("[\ufffd\x80-\x84\x86-\x9f\ue000-\uf8ff]")
+_SCRIPTS = re.compile("[\u2e80-\uffff]+|[\x80-\u2e7f](?:[\x00-\u2e7f]*[\x80-\u2e7f])?")
 _C1 = re.compile("[\x80-\x9f]")
 _SCHEMA = "bucket int, n bigint"
 
@@ -256,7 +258,7 @@ class Restorer:
                 pairs = self.trusted(left + new + after)
                 gain = float(pairs.mean()) * (1 - lost / len(new)) - tried[k]
                 if right != "utf-8":
-                    if not wide and right == "cp1252" and pairs.min() < (2.5 if left.isalpha() or after.isalpha() else 0.6):
+                    if not wide and right == "cp1252" and pairs.min() < (2.5 if (left.isalpha() or after.isalpha()) and all(c in LATIN_LOOKALIKES for c in part if not c.isascii()) else 0.6):
                         continue  # between single bytes every text has a mapping: no pair of the original may be rare
                     gain += 1.0 if not wide and right == "cp1252" else -3.0 if right == "gb18030" and len(new) < 6 else -1.5
                 else:
@@ -277,17 +279,15 @@ class Restorer:
         if len(codes) < 2:
             return text, marked, not marked
         case, whole, out, done = False, True, [], 0
-        for start, end, score in self.segments(codes):
-            while start < end and text[start].isascii():
-                start += 1
-            while end > start and text[end - 1].isascii():
-                end -= 1
+        for start, end, score in self.parts(text, codes):
             start = max(start, done)
             if start >= end or score < LEAST_WIDE and self.wide(codes[start:end]).any():
                 continue
             if got := self.undo(text, self.cuts(text, start, end, done)):
                 out += [text[done : got[0]], got[2]]
                 done, case, whole = got[1], True, whole and got[3]
+        if self.lost[_hash(codes[:-1], codes[1:])].sum() > 2:  # replacement characters, decoded once more
+            case, whole = True, False
         out.append(text[done:])
         final = "".join(out)
         if case and deep > 1 and not final.isascii():  # decoded wrongly more than once
@@ -296,16 +296,24 @@ class Restorer:
                 final, whole = again, whole and all_of_it
         return final, case or marked, whole and not _MARKS.search(final)
 
+    def parts(self, text: str, codes: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """The segments, divided where East Asian signs meet others, without ASCII at their ends."""
+        for start, end, score in self.segments(codes):
+            for m in _SCRIPTS.finditer(text, start, end):
+                yield m.start(), m.end(), score
+
     @staticmethod
     def cuts(text: str, start: int, end: int, least: int) -> list[tuple[int, int]]:
         """Ranges to try: the segment grown over the signs beside it that aren't ASCII, itself, and with its ends moved."""
         a, b = start, end
-        while a > least and not text[a - 1].isascii():
+        wide = text[start] > "\u2e7f"
+        same = lambda c: not c.isascii() and (c > "\u2e7f") == wide
+        while a > least and same(text[a - 1]):
             a -= 1
-        while b < len(text) and not text[b].isascii():
+        while b < len(text) and same(text[b]):
             b += 1
         ranges = [(a, b), (start, end)]
-        if any(c > "\u2e7f" for c in text[start:end]):  # several bytes a sign: the ends must fit
+        if wide:  # several bytes a sign: the ends must fit
             ranges += [(a, end), (start, b), (start, end + 1), (start - 1, end), (start + 1, end), (start, end - 1), (start + 1, end - 1)]
         return list(dict.fromkeys((x, y) for x, y in ranges if least <= x < y <= len(text)))
 
