@@ -56,12 +56,13 @@ _INLINE = re.compile(
 )
 _LINE = re.compile(
     r"^(?:(?P<h>[ \t]{0,3}#{1,6}[ \t]+(?P<htext>[^\n]*?)[ \t#]*)|(?P<wh>(?P<eq>={2,6})[ \t]*(?P<whtext>[^=\n][^\n]*?)[ \t]*(?P=eq))|(?P<quote>>[ \t]?(?P<qtext>[^\n]*))"
-    r"|(?P<box>[ \t]*[-*+][ \t]+\[[ xX]\][ \t]+(?P<xtext>[^\n]*))|(?P<star>[ \t]*\*+[ \t]+(?P<ltext>[^\n]*\S[^\n]*))|(?P<row>\|(?P<cells>[^\n]*)\|)|(?P<under>(?:={3,}|-{3,}(?=\n|\Z))))[ \t]*$"
+    r"|(?P<box>[ \t]*[-*+][ \t]+\[[ xX]\][ \t]+(?P<xtext>[^\n]*))|(?P<star>[ \t]*\*+[ \t]+(?P<ltext>[^\n]*\S[^\n]*))|(?P<dash>[ \t]*[-+][ \t]+(?P<dtext>[^\n]*[^\W\d_][^\n]*))|(?P<row>\|(?P<cells>[^\n]*)\|)|(?P<under>(?:={3,}|-{3,}(?=\n|\Z))))[ \t]*$"
 )
+_DASH = re.compile(r"^[ \t]*[-+][ \t]+\S*[^\W\d_]")
 _RULE_ROW = re.compile(r"^\|[ \t:|-]*-{2,}[ \t:|-]*\|?$")
 _SUP = str.maketrans("0123456789+-n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻ⁿ")
 #: JVM side: a text without any of these signs has no markup node.
-MAY_HOLD = r"[<&*`\[{\\$#|>]|__|''|==|~~"
+MAY_HOLD = r"[<&*`\[{\\$#|>]|__|''|==|~~|(?m:^[ \t]*[-+][ \t]+\S)"
 
 
 class Tree:
@@ -167,6 +168,7 @@ class Tree:
         lines = text.split("\n")
         ruled = any(_RULE_ROW.match(x.strip()) for x in lines)
         k = 0
+        dashes = sum(_DASH.match(x) is not None for x in lines) > 1  # one alone is a sign of punctuation
         for i, line in enumerate(lines):
             start, at = at, at + len(line) + 1
             while k < len(taken) and taken[k][1] <= start:
@@ -187,6 +189,8 @@ class Tree:
                     add("list", "- " + m["xtext"])
                 elif m["star"] is not None:
                     add("list", "- " + m["ltext"])
+                elif m["dash"] is not None and dashes:
+                    add("list", "- " + m["dtext"])
                 elif m["row"] is not None and ruled:
                     add("table", "" if _RULE_ROW.match(line.strip()) else " | ".join(c.strip() for c in m["cells"].split("|")))
                 elif m["under"] is not None and i and before.strip() and line[0] == "=" and len(before) < 200:

@@ -32,7 +32,7 @@ def test_lookalike_frames(spark, make_blocks):
     [
         ("<b>x</b>&nbsp;y", "paragraph", "x y"), ("### Head", "heading", "Head"), ("'''H''' [[a|b]]", "paragraph", "H b"), ("\\textbf{x} 5\\%", "paragraph", "x 5%"), ("m<sup>3</sup>", "paragraph", "m³"), ("a <!-- no --> b", "paragraph", "a  b"),
         ("* one\n* two", "list_item", "- one\n- two"), ("[t](u.md) ![a](b.png) `c` ~~d~~ **e**", "paragraph", "t a c d e"), ("| a | b |\n| --- | --- |\n| 1 | 2 |", "table", "a | b\n\n1 | 2"), ("$Q = v \\cdot A$", "paragraph", "$Q = v \\cdot A$"),
-        ("\\begin{itemize} \\item x\n\\item y \\end{itemize}", "list_item", "- x\n- y"), ("&lt;p&gt;x&lt;/p&gt;", "paragraph", "x"), ("> said\n> twice", "paragraph", "said\ntwice"),
+        ("\\begin{itemize} \\item x\n\\item y \\end{itemize}", "list_item", "- x\n- y"), ("&lt;p&gt;x&lt;/p&gt;", "paragraph", "x"), ("- one thing\n- two things\n  - deep", "list_item", "- one thing\n- two things\n- deep"), ("> said\n> twice", "paragraph", "said\ntwice"),
     ],
 )
 def test_markup(text, kind, clean):
@@ -42,7 +42,7 @@ def test_markup(text, kind, clean):
     assert got == (clean, kind)
 
 
-@pytest.mark.parametrize("text", ["a < b and c > d", "-> x <- 5 <= 6", "534 * 3 * 2 = 3; pump #3; file_name_5", "[1] R&D: $5 / $6, C:\\pumps\\5", "{5} a | b, ~5 m, 50 % ^ 2", "Home | News | Press", "1. Scope", "— » ·", "- 6 -", "(turbidity < 7.28 NTU, pH > 7)", ""])
+@pytest.mark.parametrize("text", ["a < b and c > d", "-> x <- 5 <= 6", "534 * 3 * 2 = 3; pump #3; file_name_5", "[1] R&D: $5 / $6, C:\\pumps\\5", "{5} a | b, ~5 m, 50 % ^ 2", "Home | News | Press", "1. Scope", "— » ·", "- 6 -", "- 6 -\n- 7 -", "- a single dash", "(turbidity < 7.28 NTU, pH > 7)", ""])
 def test_no_markup(text):
     assert not markup.Tree(text).nodes
 
