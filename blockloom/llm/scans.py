@@ -5,11 +5,12 @@ are learned: the vector of a word sums, over a window of two on either side, fix
 weighted down by how frequent they are (the count form of skip-gram training: no order of rows matters).  (2) A rare word
 is linked to a frequent one that differs from it by plausible glyph edits; a rare ideograph between neighbours is linked
 to the sign that is frequent between the same neighbours, and such links count only where several different
-surroundings support them.  (3) Of several candidates the one that fits the context's vectors is taken.  (4) Running
+surroundings support them.  (3) Of several candidates the one that fits the context's vectors is taken; the links between signs, once learned, are
+tried on every sign they know.  (4) Running
 lines (the document's title or its beginning) and page numbers are removed, cut words joined, and lines reflowed.
 
 All tables have a fixed number of hashed buckets, so what is collected and broadcast is bounded whatever the corpus:
-2**WORD_BITS word counts, 2**TRI_BITS counts of three signs, at most 2**GAP_BITS expected signs, VECTORS x DIM weights.
+WORD_ROWS x 2**WORD_BITS word counts, 2**TRI_BITS counts of three signs, at most 2**GAP_BITS expected signs, VECTORS x DIM weights.
 
 Only documents whose metadata says scanned are looked at; headings keep their text.  Defined results: null or empty
 text has no noise; metadata that is null or no JSON means not scanned; a document without a title is held against its
@@ -19,19 +20,20 @@ first heading; repeated rows give equal results; texts of any length are read wh
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.lookalikes import Normalizer
+from blockloom.tables import ensure_checkpoint_dir
 
-WORD_BITS, TRI_BITS, GAP_BITS = 21, 21, 20
+WORD_BITS, WORD_ROWS, TRI_BITS, GAP_BITS = 21, 3, 22, 20
 VECTORS, DIM, WINDOW = 1 << 15, 16, 2
 #: A word or three signs are rare beside others that are so many times as frequent.
 RATIO = 12
@@ -46,12 +48,19 @@ _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _NUMBER = r"[0-9lIOS]{0,3}[0-9][0-9lIOS]{0,3}"
 _PAGE = re.compile(rf"^\s*(?:{_NUMBER}|[pPsS]\. ?{_NUMBER}|[-–—] ?{_NUMBER} ?[-–—]|\[ ?{_NUMBER} ?\]|\( ?{_NUMBER} ?\)|{_NUMBER} ?/ ?{_NUMBER}|[·•] ?{_NUMBER} ?[·•]|{_NUMBER}\.|[第弟] ?{_NUMBER} ?[页頁]|(?:[Pp]age|[Ss]eite) {_NUMBER})\s*$")
+_DIGIT = re.compile("[0-9]")
 _HAN = re.compile(r"[㐀-鿿]")
-_PARTS = (("word", 1 << WORD_BITS), ("tri", 1 << TRI_BITS), ("vec", VECTORS * DIM))
+_PARTS = (("word", WORD_ROWS << WORD_BITS), ("tri", 1 << TRI_BITS), ("vec", VECTORS * DIM))
 
 
 def _word_id(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def _rows_of(ids: np.ndarray) -> np.ndarray:
+    """The buckets of words, one in each row of the table: a count is the least of its rows, so that rarely two words mix."""
+    mask = np.uint64((1 << WORD_BITS) - 1)
+    return np.stack([((ids >> np.uint64(k * WORD_BITS)) & mask).astype(np.int64) + (k << WORD_BITS) for k in range(WORD_ROWS)])
 
 
 @cache
@@ -97,7 +106,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[str] = []
         for t in texts:
             if _LATIN.search(t):
-                tokens += _WORD.findall(t)
+                tokens += [w for w in _WORD.findall(t) if not w.isdecimal()]
                 tokens.append("")
         words.update(tokens)
         if len(ids) > 500_000:
@@ -122,8 +131,9 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, n in zip(*(x.tolist() for x in np.unique(key, return_counts=True))):
                 gap[k] = gap.get(k, 0) + n
     words.pop("", None)
-    hashed = np.fromiter((_word_id(w) for w in words), np.int64, len(words)) & ((1 << WORD_BITS) - 1)
-    table = np.bincount(hashed, np.fromiter(words.values(), np.float64, len(words)), 1 << WORD_BITS) if words else np.zeros(1)
+    hashed = _rows_of(np.fromiter((_word_id(w) for w in words), np.uint64, len(words)))
+    n = np.fromiter(words.values(), np.float64, len(words))
+    table = np.bincount(hashed.ravel(), np.tile(n, WORD_ROWS), WORD_ROWS << WORD_BITS)
 
     def rows(kind: int, bucket: np.ndarray, sign: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sign.astype(np.int32)), pa.array(n.astype(np.float64))], names=["kind", "bucket", "sign", "n"])
@@ -164,7 +174,14 @@ class Reader:
         self.memo: dict[str, list[str]] = {}
 
     def count(self, word: str) -> float:
-        return float(self.words[_word_id(word) & ((1 << WORD_BITS) - 1)])
+        h, least = _word_id(word), np.inf
+        for k in range(WORD_ROWS):
+            n = self.words[((h >> (k * WORD_BITS)) & ((1 << WORD_BITS) - 1)) + (k << WORD_BITS)]
+            if n < least:
+                least = float(n)
+                if not n:
+                    break
+        return least
 
     def candidates(self, word: str) -> list[str]:
         """Frequent words from which a rare one comes by up to three glyph edits of one kind, or one of each of two."""
@@ -172,10 +189,10 @@ class Reader:
             return self.memo[word]
         least, out = max(5.0, RATIO * self.count(word)), []
         one = [new for wrong, right in GLYPHS if wrong in word for new in self.edits(word, wrong, right)]
-        out = [w for w in dict.fromkeys(one) if self.count(w) >= least]
+        out = [w for w in dict.fromkeys(one) if not _DIGIT.search(w) and self.count(w) >= least]
         if not out and len(word) > 3:
             two = (new for w in one for wrong, right in GLYPHS[:15] if wrong in w for new in self.edits(w, wrong, right))
-            out = [w for w in dict.fromkeys(two) if self.count(w) >= least]
+            out = [w for w in dict.fromkeys(two) if not _DIGIT.search(w) and self.count(w) >= least]
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[word] = out
@@ -238,6 +255,31 @@ class Reader:
                 out.append((i, chr(codes[i]), chr(want[i]), hash(tuple(side)) & 0x7FFFFFFF))
         return out
 
+    def misread_known(self, text: str, right: dict[int, int]) -> list[tuple[int, str]]:
+        """(position, right sign) of the signs that a learned link explains; neighbours are put right together."""
+        codes = _codes(text)
+        at = [i for i, c in enumerate(codes.tolist()) if c in right]
+        out: list[tuple[int, str]] = []
+        while at:
+            group = [at.pop(0)]
+            while at and at[0] - group[-1] <= 2:
+                group.append(at.pop(0))
+            for some in [group, *([[i] for i in group] if len(group) > 1 else [])]:
+                lo, hi = max(0, some[0] - 2), some[-1] + 3
+                old, new = codes[lo:hi], codes[lo:hi].copy()
+                for i in some:
+                    new[i - lo] = right[int(codes[i])]
+                (mid, b_old), (_, b_new) = _triples(old), _triples(new)
+                if len(b_old) != len(b_new) or not len(b_old):
+                    continue
+                n_old, n_new = self.tri[b_old], self.tri[b_new]
+                centre = np.isin(mid + lo, some)
+                if centre.any() and (n_new[centre] >= np.maximum(3, RATIO / 2 * n_old[centre])).all() and n_new.sum() >= RATIO / 2 * n_old.sum():
+                    out += [(i, chr(right[int(codes[i])])) for i in some if i not in {p for p, _ in out}]
+                    if some is group:
+                        break
+        return sorted(out)
+
     def around(self, codes: np.ndarray) -> list[float]:
         return self.tri[_triples(codes)[1]].tolist() if len(codes) > 2 else []
 
@@ -249,7 +291,7 @@ class Reader:
             n = min(len(own), len(full))
             if n >= 6 and len(own) <= len(full) + 2 and (len(own) >= len(full) - 2 or n >= 18 or n >= 0.6 * len(full)):
                 wrong = sum(a != b for a, b in zip(own, full))
-                if wrong <= 0.12 * n or _distance(own, full[: len(own)], int(0.12 * n) + 1) <= 0.12 * n:
+                if wrong <= (0.2 if len(own) == len(full) else 0.12) * n or _distance(own, full[: len(own)], int(0.12 * n) + 1) <= 0.12 * n:
                     return True
         return False
 
@@ -353,7 +395,10 @@ def scanned_blocks(blocks: DataFrame, documents: DataFrame) -> DataFrame:
 
 def read(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """(block_id, noise, repaired, links) of the blocks of scanned documents."""
-    shared = blocks.sparkSession.sparkContext.broadcast(learn(blocks))
+    return _reading(blocks, documents, blocks.sparkSession.sparkContext.broadcast(learn(blocks)))
+
+
+def _reading(blocks: DataFrame, documents: DataFrame, shared) -> DataFrame:
     return scanned_blocks(blocks, documents).mapInArrow(_read(shared), "block_id string, noise array<string>, repaired string, links array<struct<pos:int,wrong:string,right:string,side:int>>")
 
 
@@ -364,24 +409,41 @@ def _supported(links: DataFrame) -> DataFrame:
     return pairs.join(back, ["wrong", "right"], "left").where("(n >= 4 or sides >= 2) and n > coalesce(m, 0)").select("wrong", "right", "n")
 
 
-def found(blocks: DataFrame, documents: DataFrame) -> DataFrame:
-    """The rows of p3_found."""
-    from blockloom.tables import ensure_checkpoint_dir
+def _recheck(broadcast, right: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(broadcast.value)
+        fix = pa.list_(pa.struct([("pos", pa.int32()), ("right", pa.string())]))
+        for batch in batches:
+            got = [[{"pos": p, "right": r} for p, r in reader.misread_known(t, right)] for t in batch.column(1).to_pylist()]
+            keep = pa.array([i for i, x in enumerate(got) if x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, fix)], names=["block_id", "fix"]).take(keep)
 
+    return run
+
+
+def _twice(blocks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the blocks of scanned documents gave, and (block_id, fix) of misread signs: the links between signs are
+    learned from the first reading, then every sign they know is looked at again, also beside other misread signs."""
     ensure_checkpoint_dir(blocks.sparkSession)
-    got = read(blocks, documents).drop("repaired").where("size(noise) > 0 or size(links) > 0").checkpoint()
+    shared = blocks.sparkSession.sparkContext.broadcast(learn(blocks))
+    got = _reading(blocks, documents, shared).checkpoint()
     links = got.select("block_id", F.explode("links").alias("link")).select("block_id", "link.*")
-    by_sign = links.join(_supported(links), ["wrong", "right"], "left_semi").select("block_id", F.lit("misread").alias("noise"))
-    return got.select("block_id", F.explode("noise").alias("noise")).unionAll(by_sign).distinct()
+    # At most one link a wrong sign, so there are no more of them than ideographs.
+    best = _supported(links).groupBy("wrong").agg(F.max_by("right", F.struct("n", "right")).alias("right")).collect()
+    right = {ord(r.wrong): ord(r.right) for r in best}
+    again = got.where(F.lit(bool(right)) & F.col("repaired").rlike("[" + "".join(map(chr, sorted(right))) + "]" if right else "x")).select("block_id", "repaired")
+    return got, again.mapInArrow(_recheck(shared, right), "block_id string, fix array<struct<pos:int,right:string>>")
+
+
+def found(blocks: DataFrame, documents: DataFrame) -> DataFrame:
+    """The rows of p3_found."""
+    got, signs = _twice(blocks, documents)
+    return got.select("block_id", F.explode("noise").alias("noise")).unionAll(signs.select("block_id", F.lit("misread").alias("noise"))).distinct()
 
 
 def repaired(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """(block_id, text): continuous text of the blocks of scanned documents, without furniture."""
-    from blockloom.tables import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(blocks.sparkSession)
-    got = read(blocks, documents).dropDuplicates(["block_id"]).checkpoint()
-    links = got.select("block_id", F.explode("links").alias("link")).select("block_id", "link.*")
-    good = links.join(_supported(links), ["wrong", "right"], "left_semi").groupBy("block_id").agg(F.sort_array(F.collect_set(F.struct("pos", "right"))).alias("fix"))
+    got, signs = _twice(blocks, documents)
     put = F.aggregate("fix", F.col("repaired"), lambda t, x: F.concat(F.substring(t, F.lit(1), x.pos), x.right, F.substring(t, x.pos + 2, F.length(t))))
-    return got.join(good, "block_id", "left").select("block_id", F.when(F.col("fix").isNull(), F.col("repaired")).otherwise(put).alias("text"))
+    once = got.select("block_id", "repaired").dropDuplicates(["block_id"]).join(signs.dropDuplicates(["block_id"]), "block_id", "left")
+    return once.select("block_id", F.when(F.col("fix").isNull(), F.col("repaired")).otherwise(put).alias("text"))
