@@ -22,13 +22,15 @@ class Result:
 
 
 def process(blocks: DataFrame) -> DataFrame:
-    """Cleaned and repaired blocks; distributed by document once."""
-    return repair.repair(clean.clean(blocks.repartition("document_id")))
+    """Cleaned and repaired blocks.  All its windows are keyed by document: distribute the blocks by it once before."""
+    return repair.repair(clean.clean(blocks))
 
 
 def prepared(blocks: DataFrame) -> DataFrame:
-    """Rows of a table of blocks as the operators take them: each block once, pos as its order."""
-    once = blocks.dropDuplicates(["block_id"])
+    """Rows of a table of blocks as the operators take them: each block once, pos as its order, distributed by document.
+
+    Copies of a block share its document, so the one exchange that the operators need also serves to drop them."""
+    once = blocks.repartition("document_id").dropDuplicates(["document_id", "block_id"])
     return once.withColumn("pos", F.col("block_order"))
 
 
@@ -54,6 +56,6 @@ def parse_files(spark: SparkSession, paths: list[str], adapters: dict | None = N
 def run(documents: DataFrame) -> Result:
     # The same file under two paths is one document.
     ok = documents.where("error is null").dropDuplicates(["document_id"])
-    before = files.blocks(ok)
+    before = files.blocks(ok).repartition("document_id")
     after = process(before)
     return Result(ok, after, warnings_of(before, after), evaluate(before, after), ocr.candidates(after), documents.where("error is not null").select("path", "error_type", "error"))

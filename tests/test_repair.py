@@ -73,7 +73,7 @@ def test_evaluation_and_empty_tables(spark, make_blocks):
     assert pipeline.process(none).count() == 0 and quality.evaluations(none).count() == 0 and quality.summaries(none).count() == 0
 
 
-def test_one_exchange_serves_the_repair(spark, make_blocks):
-    df = repair.repair(make_blocks([para("d", 1, "t", 1, None)]).withColumn("pos", F.col("block_order")).repartition("document_id"))
+def test_one_exchange_serves_everything(spark, make_blocks):
+    df = pipeline.process(pipeline.prepared(make_blocks([para("d", 1, "t", 1, None)])))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
