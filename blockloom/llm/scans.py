@@ -43,6 +43,7 @@ GLYPHS = (
     ("m", "in"), ("m", "rn"), ("d", "cl"), ("w", "vv"), ("e", "c"), ("h", "b"), ("t", "f"), ("u", "ii"), ("n", "ri"), ("l", "i"), ("i", "l"), ("I", "l"), ("l", "I"), ("O", "o"), ("S", "s"), ("0", "O"), ("1", "I"), ("5", "S"), ("é", "6"), ("in", "m"), ("li", "h"), ("ni", "m"), ("6", "b"), ("q", "g"), ("g", "q"), ("a", "o"), ("o", "a"), ("n", "u"), ("u", "n"), ("v", "y"), ("y", "v"), ("c", "o"), ("o", "c"),
 )
 #: Marks that divide a word.
+_NUMBERED = re.compile(r"\s{2,}\S{1,6}\s*$")
 _CUT = re.compile(r"[^\W\d_][-¬‐\xad]\s*$")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
@@ -172,8 +173,13 @@ class Reader:
         self.words, self.tri, self.expected, self.vec = tables
         self.normal = Normalizer()
         self.memo: dict[str, list[str]] = {}
+        self.counts: dict[str, float] = {}
+        self.folded: dict[str, str] = {}
 
     def count(self, word: str) -> float:
+        known = self.counts.get(word)
+        if known is not None:
+            return known
         h, least = _word_id(word), np.inf
         for k in range(WORD_ROWS):
             n = self.words[((h >> (k * WORD_BITS)) & ((1 << WORD_BITS) - 1)) + (k << WORD_BITS)]
@@ -181,6 +187,9 @@ class Reader:
                 least = float(n)
                 if not n:
                     break
+        if len(self.counts) > 500_000:
+            self.counts.clear()
+        self.counts[word] = least
         return least
 
     def candidates(self, word: str) -> list[str]:
@@ -285,11 +294,17 @@ class Reader:
 
     def running(self, line: str, titles: list[str]) -> bool:
         """Whether a line repeats a title or its beginning; a page number may stand after it."""
-        own = _folded(re.sub(r"\s{2,}\S{1,6}\s*$", "", line.strip()))
+        own = _folded(_NUMBERED.sub("", line.strip()))
         for title in titles:
-            full = _folded(title)
+            full = self.folded.get(title)
+            if full is None:
+                if len(self.folded) > 50_000:
+                    self.folded.clear()
+                full = self.folded[title] = _folded(title)
             n = min(len(own), len(full))
-            if n >= 6 and len(own) <= len(full) + 2 and (len(own) >= len(full) - 2 or n >= 18 or n >= 0.6 * len(full)):
+            if n < 6 or own[:1] != full[:1] and own[1:2] != full[1:2] and own[2:4] != full[2:4]:
+                continue  # misreading leaves some of the first signs
+            if len(own) <= len(full) + 2 and (len(own) >= len(full) - 2 or n >= 18 or n >= 0.6 * len(full)):
                 wrong = sum(a != b for a, b in zip(own, full))
                 if wrong <= (0.2 if len(own) == len(full) else 0.12) * n or _distance(own, full[: len(own)], int(0.12 * n) + 1) <= 0.12 * n:
                     return True
