@@ -39,6 +39,7 @@ _NUMBER = re.compile(r"[0-9０-９]+(?:[/.-][0-9０-９]+)*")
 _SECTION = re.compile(r"^\s*(?:#{1,6}\s+)?(?:\d{1,2}\. |[一二三四五六七八九十]{1,3}、)")
 _STEP = re.compile(r"\s(?:>|›|»|/|\||·|→)\s")
 _SENTENCE = re.compile(r"[。！？]|[.!?] [A-ZÀ-Þ]|[.;；]$")
+_BOLD = re.compile(r"^\s*'''(.+?)'''\s+\[\[[^\]]*\]\]\s*$")
 _MARKUP = re.compile(r"[<\[{*\\#'&~`]")
 
 
@@ -93,7 +94,8 @@ class Lines:
             first = self.node(m[1])
         if self.names and self.names.search(plain.lower()):
             node += "\x00"  # it speaks of the operator
-        return _key(node), _key(first) if first else None, node[-1] == "\x00", article, bool(_SECTION.match(plain)), title_key(plain)
+        bold = _BOLD.match(line)
+        return _key(node), _key(first) if first else None, node[-1] == "\x00", article, bool(_SECTION.match(plain)), title_key(self.plain(bold[1]) if bold else plain)
 
 
 def title_key(title: str) -> int:
@@ -189,12 +191,20 @@ def classified(blocks: DataFrame, documents: DataFrame, sites: DataFrame) -> Dat
     page = Window.partitionBy("document_id").orderBy("block_order", "block_id", "line_no")
     whole = Window.partitionBy("document_id")
     rows = rows.dropDuplicates(["document_id", "block_id", "line_no"])
-    rows = rows.withColumn("named", F.max("is_own").over(whole)).withColumn("before", F.lag("article", 1, False).over(page)).withColumn("next", F.lead("section", 1, False).over(page))
-    # Where no line repeats the title of record (it is missing or garbled), the top heading or the line before the first section is it.
-    instead = ~F.col("named") & (F.col("heading") & (F.col("level") == 1) | ~F.col("heading") & ~F.col("before") & F.col("next"))
-    other = F.col("article") & ~F.col("is_own") & ~instead
+    article = F.col("article") & F.col("first").isNull()
+    rows = rows.withColumn("plain", article)
+    alone = F.col("plain") & ~F.lag("plain", 1, False).over(page)
+    # The page's own title: the line that repeats the title of record; where none does (it is missing or garbled), the top
+    # heading, else the line before the first section, else one that stands alone.
+    score = (
+        F.when(F.col("is_own"), 4).when(F.col("plain") & F.col("heading") & (F.col("level") == 1), 3)
+        .when(alone & F.lead("section", 1, False).over(page), 2).when(alone & ~F.lead("plain", 1, False).over(page), 1).otherwise(0)
+    )
+    rows = rows.withColumn("score", score).withColumn("best", F.max("score").over(whole))
+    title = (F.col("score") > 0) & (F.col("score") == F.col("best"))
+    other = F.col("article") & ~title
     path = F.coalesce("path", F.lit(False))
-    return rows.select("document_id", "block_id", "line_no", ((F.coalesce("low", F.lit(False)) & ~F.col("is_own")) | other | (path & ~F.col("is_own") & ~F.col("section"))).alias("boilerplate"))
+    return rows.select("document_id", "block_id", "line_no", ((F.coalesce("low", F.lit(False)) & ~title) | other | (path & ~title & ~F.col("section"))).alias("boilerplate"))
 
 
 def found(blocks: DataFrame, documents: DataFrame, sites: DataFrame) -> DataFrame:
