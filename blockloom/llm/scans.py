@@ -37,6 +37,8 @@ WORD_BITS, WORD_ROWS, TRI_BITS, GAP_BITS = 21, 3, 22, 20
 VECTORS, DIM, WINDOW = 1 << 15, 16, 2
 #: A word or three signs are rare beside others that are so many times as frequent.
 RATIO = 12
+#: A word with this share of all words is no misread one.
+COMMON = 3e-4
 #: Wrong sign(s), as recognised, and the right one(s). Fixed values.
 GLYPHS = (
     ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "é"), ("8", "B"), ("c", "e"), ("cl", "d"), ("rn", "m"), ("vv", "w"), ("b", "h"), ("f", "t"), ("ii", "u"), ("ii", "ü"), ("h", "li"),
@@ -171,6 +173,7 @@ class Reader:
 
     def __init__(self, tables: tuple) -> None:
         self.words, self.tri, self.expected, self.vec = tables
+        self.common = max(100.0, COMMON * float(self.words[: 1 << WORD_BITS].sum()))
         self.normal = Normalizer()
         self.memo: dict[str, list[str]] = {}
         self.counts: dict[str, float] = {}
@@ -226,7 +229,7 @@ class Reader:
         for i, (a, b, w) in enumerate(found):
             if len(w) < 2 or not _LATIN.search(w) or _HAN.search(w) or w.isupper() and not any(c.isdigit() for c in w):
                 continue
-            if self.count(w) >= 400:
+            if self.count(w) >= self.common:
                 continue
             some = self.candidates(w)
             if not some:
@@ -241,8 +244,8 @@ class Reader:
             out.append((a, b, max(some, key=lambda c: (self.fits(words, i, c), self.count(c))) if len(some) > 1 else some[0]))
         return out
 
-    def misread_signs(self, text: str) -> list[tuple[int, str, str, int]]:
-        """(position, sign, expected sign, hash of the surroundings) of ideographs that are rare between their neighbours."""
+    def misread_signs(self, text: str) -> list[tuple[int, str, str, int, int, float]]:
+        """(position, sign, expected sign, hashes of five and of three signs, count of the three) of ideographs rare between their neighbours."""
         codes = _codes(text)
         if len(codes) < 5:
             return []
@@ -261,7 +264,7 @@ class Reader:
             new_around = self.around(new)
             if len(new_around) == len(old_around) and all(n >= 3 and n >= RATIO * o for n, o in zip(new_around, old_around)):
                 side = codes[max(0, i - 2) : i + 3].tolist()
-                out.append((i, chr(codes[i]), chr(want[i]), hash(tuple(side)) & 0x7FFFFFFF))
+                out.append((i, chr(codes[i]), chr(want[i]), hash(tuple(side)) & 0x7FFFFFFF, hash(tuple(codes[i - 1 : i + 2].tolist())) & 0x7FFFFFFF, float(seen[i])))
         return out
 
     def misread_known(self, text: str, right: dict[int, int]) -> list[tuple[int, str]]:
@@ -388,12 +391,12 @@ def _distance(a: str, b: str, most: int) -> int:
 def _read(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(broadcast.value)
-        link = pa.list_(pa.struct([("pos", pa.int32()), ("wrong", pa.string()), ("right", pa.string()), ("side", pa.int32())]))
+        link = pa.list_(pa.struct([("pos", pa.int32()), ("wrong", pa.string()), ("right", pa.string()), ("side", pa.int32()), ("centre", pa.int32()), ("old", pa.float64())]))
         for batch in batches:
             got = []
             for text, kind, titles in zip(*(batch.column(c).to_pylist() for c in ("text", "block_type", "titles"))):
                 noise, new, links = reader.read(text, kind, [t for t in titles or [] if t])
-                got.append((noise, new, [{"pos": p, "wrong": w, "right": r, "side": s} for p, w, r, s in links]))
+                got.append((noise, new, [dict(zip(("pos", "wrong", "right", "side", "centre", "old"), x)) for x in links]))
             cols = list(zip(*got)) if got else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column("block_id"), pa.array(cols[0], pa.list_(pa.string())), pa.array(cols[1], pa.string()), pa.array(cols[2], link)], names=["block_id", "noise", "repaired", "links"])
 
@@ -414,14 +417,20 @@ def read(blocks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _reading(blocks: DataFrame, documents: DataFrame, shared) -> DataFrame:
-    return scanned_blocks(blocks, documents).mapInArrow(_read(shared), "block_id string, noise array<string>, repaired string, links array<struct<pos:int,wrong:string,right:string,side:int>>")
+    return scanned_blocks(blocks, documents).mapInArrow(_read(shared), "block_id string, noise array<string>, repaired string, links array<struct<pos:int,wrong:string,right:string,side:int,centre:int,old:double>>")
 
 
 def _supported(links: DataFrame) -> DataFrame:
-    """Links (wrong, right) of signs that several surroundings or blocks support, unless the opposite link has more."""
+    """Links (wrong, right, n) of signs that several surroundings or blocks support, unless the opposite link has more.
+
+    What recognition did stands in scanned documents only: at least half of all places in the corpus where the three
+    signs meet must be places of the link, else the three are a usage of their own."""
+    at = links.groupBy("wrong", "right", "centre").agg(F.count("*").alias("n"), F.max("old").alias("old"))
+    own = at.groupBy("wrong", "right").agg((F.sum("n") / F.sum("old")).alias("own"))
     pairs = links.groupBy("wrong", "right").agg(F.countDistinct("block_id").alias("n"), F.countDistinct("side").alias("sides"))
     back = pairs.select(F.col("wrong").alias("right"), F.col("right").alias("wrong"), F.col("n").alias("m"))
-    return pairs.join(back, ["wrong", "right"], "left").where("(n >= 4 or sides >= 2) and n > coalesce(m, 0)").select("wrong", "right", "n")
+    held = pairs.join(own, ["wrong", "right"]).join(back, ["wrong", "right"], "left")
+    return held.where("(n >= 4 or sides >= 2) and n > coalesce(m, 0) and own >= 0.5").select("wrong", "right", "n")
 
 
 def _recheck(broadcast, right: dict[int, int]):
