@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 #: What a reviewer can choose, and what asks for OCR.
 ACTIONS = ("run_ocr", "approve_native", "approve_ocr", "merge_results", "retry_ocr", "exclude_page", "reject_document")
 ASKS_OCR = ("run_ocr", "retry_ocr")
-FINAL_ACTIONS = ("approve_native", "approve_ocr", "merge_results", "exclude_page", "reject_document")
 STRUCTURE_ACTIONS = ("approve", "correct_text", "exclude_block", "reject_document")
 STRUCTURE_TYPES = ("cross_page_paragraph", "continued_table")
 OCR_FLAGS = ("manual_review", "auto_ocr_candidate", "review_before_ocr", "auto_ocr")

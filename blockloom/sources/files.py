@@ -14,6 +14,7 @@ from blockloom.sources import html, markdown, office
 from blockloom.sources.model import BLOCK_TYPE, FORMATS, Parsed, document_row, format_of
 from blockloom.tables import prepare
 
+#: Fixed value: the largest file that may be sent in.
 LARGEST = 200 * 1024 * 1024
 SCHEMA = f"path string, document_id string, title string, file_type string, metadata map<string,string>, blocks {BLOCK_TYPE}, error_type string, error string"
 Adapter = Callable[[str, bytes], Parsed]
@@ -38,6 +39,11 @@ def scan(spark: SparkSession, paths: str | list[str], recursive: bool = True, ou
     return df if largest is None else df.where(F.col("length") <= largest)
 
 
+def scan_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """Files that were sent in: what is too large or has no parser is left out."""
+    return scan(spark, path, largest=LARGEST)
+
+
 def scan_files(spark: SparkSession, files: list[str]) -> DataFrame:
     """Like scan, for given files: one that is missing or has no parser is an error."""
     for f in files:
