@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -13,7 +12,3 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(lengths, out=offsets[1:])
     joined = "".join([t for t in texts if t])
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), offsets
-
-
-def lists_of(offsets: np.ndarray, values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)

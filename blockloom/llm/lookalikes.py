@@ -34,7 +34,6 @@ INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤
 HYPHENS = "‐‑⁃﹣－"
 NONE, DROP, MAP, MARK, LETTER = 0, 1, 2, 3, 4
 _JOINERS = {0x200D, 0xFE0E, 0xFE0F}
-FOUND_FIELDS = ("text", "heading_path")
 
 
 @cache
