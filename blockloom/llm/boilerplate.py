@@ -103,21 +103,19 @@ def title_key(title: str) -> int:
 
 
 def _count_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, n = Counter(), 0
+    seen: Counter = Counter()
     for batch in batches:
         for t in batch.column(0).to_pylist():
             if t and t.strip():
-                n += 1
                 seen.update(frames(t))
-    seen[""] = n
     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["frame", "n"])
 
 
 def title_frames(documents: DataFrame) -> set[str]:
     """The frames in at least FRAME_SHARE of all titles; there can't be more of them than frames per title / FRAME_SHARE."""
     counts = documents.select("title").mapInArrow(_count_frames, "frame string, n bigint").groupBy("frame").agg(F.sum("n").alias("n"))
-    total = F.broadcast(counts.where("frame = ''").select(F.col("n").alias("total")))
-    return {r.frame for r in counts.where("frame <> ''").join(total).where((F.col("n") >= FRAME_SHARE * F.col("total")) & (F.col("n") >= 2)).select("frame").collect()}
+    total = documents.where("trim(title) <> ''").count()
+    return {r.frame for r in counts.where((F.col("n") >= max(2.0, FRAME_SHARE * total)) & (F.col("frame") != "")).select("frame").collect()}
 
 
 def _nodes(names: list[str], known: set[str]):
