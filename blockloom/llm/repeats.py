@@ -17,9 +17,13 @@ line feeds belong to the line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import exp
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.tables import ensure_checkpoint_dir
+
 LEAST_LETTERS, LEAST_DOCUMENTS, LEAST_SHARE, FALSE_DISCOVERY = 5, 4, 0.08, 0.05
 KINDS = ("paragraph", "list_item")
 _BINS = 4000
@@ -47,26 +51,33 @@ def log_likelihood(a: Column, m: Column, t: Column, n: Column) -> Column:
 
 def excess(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """(site, k1, k2, n, m, llr) of the lines with a significant excess that pass the exact rule."""
+    ensure_checkpoint_dir(blocks.sparkSession)
     once = lines.groupBy("site", "k1", "k2", "document_id").agg(F.lit(1).alias("one"))
-    inside = once.groupBy("site", "k1", "k2").agg(F.count("one").alias("n"))
+    inside = once.groupBy("site", "k1", "k2").agg(F.count("one").alias("n")).checkpoint()  # three parts of the plan read it
     documents = blocks.where("site is not null and document_id is not null").groupBy("site", "document_id").agg(F.lit(1).alias("one")).groupBy("site").agg(F.count("one").alias("m"))
     everywhere = inside.groupBy("k1", "k2").agg(F.sum("n").alias("t"))
-    total = documents.agg(F.sum("m").alias("total")).withColumn("of", F.lit("all"))
+    total = float(documents.agg(F.sum("m")).first()[0] or 0)
     # A line that stands in fewer documents than the rule asks for is a test too: it counts for the discovery rate.
-    tests = inside.join(documents, "site").join(everywhere, ["k1", "k2"]).withColumn("of", F.lit("all")).join(F.broadcast(total), "of")
-    tests = tests.withColumn("llr", log_likelihood(F.col("n").cast("double"), F.col("m").cast("double"), F.col("t").cast("double"), F.col("total").cast("double")))
-    # One row each of totals and of the cut is broadcast.
+    tests = inside.join(documents, "site").join(everywhere, ["k1", "k2"])
+    tests = tests.withColumn("llr", log_likelihood(F.col("n").cast("double"), F.col("m").cast("double"), F.col("t").cast("double"), F.lit(total)))
     x = F.sqrt(F.greatest("llr", F.lit(1e-9)) / 2)
     minus_log_p = F.when(F.col("llr") <= 0.5, 0.0).otherwise(x * x + F.log(x * F.sqrt(F.lit(3.141592653589793))))  # a bound of erfc from above
     tests = tests.withColumn("bin", F.least(F.floor(F.greatest(minus_log_p, F.lit(0.0)) * 10), F.lit(_BINS)).cast("int"))
-    bins = tests.groupBy("bin").agg(F.count("*").alias("k"))  # at most _BINS + 1 rows
-    from_top = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = bins.select("bin", F.sum("k").over(from_top).alias("rank"), F.sum("k").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("tests"))
-    cut = ranked.where(F.exp(-F.col("bin") / 10) <= FALSE_DISCOVERY * F.col("rank") / F.col("tests")).agg(F.min("bin").alias("cut")).withColumn("of", F.lit("all"))
-    kept = tests.join(F.broadcast(cut), "of").where((F.col("bin") >= F.col("cut")) & (F.col("llr") > 0))
+    cut = discovery_cut({r.bin: r.k for r in tests.groupBy("bin").agg(F.count("*").alias("k")).collect()})  # at most _BINS + 1 rows
+    kept = tests.where((F.col("bin") >= cut) & (F.col("llr") > 0))
     return kept.where((F.col("n") >= LEAST_DOCUMENTS) & (F.col("n") >= LEAST_SHARE * F.col("m"))).select("site", "k1", "k2", "n", "m", "llr")
 
 
+def discovery_cut(bins: dict[int, int]) -> int:
+    """The least bin of minus log p (tenths) up to which the false-discovery rate is kept; beyond all bins if none is."""
+    tests, rank, cut = sum(bins.values()), 0, _BINS + 1
+    for b in sorted(bins, reverse=True):
+        rank += bins[b]
+        if exp(-b / 10) <= FALSE_DISCOVERY * rank / tests:
+            cut = b
+    return cut
+
+
 def found(blocks: DataFrame) -> DataFrame:
     """The rows of p5_found."""
     lines = positioned(blocks)

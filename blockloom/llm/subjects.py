@@ -274,7 +274,6 @@ def composition(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> Da
     total = rows.groupBy("source").agg(F.count("*").alias("total"))
     by = of.groupBy("source", "area").agg(F.count("*").alias("documents"))
     parts = by.join(total, "source", "left")
-    whole = total.agg(F.sum("total").alias("total")).withColumn("of", F.lit("all"))
-    every = by.groupBy("area").agg(F.sum("documents").alias("documents")).withColumn("of", F.lit("all")).join(F.broadcast(whole), "of")  # one row
+    every = by.groupBy("area").agg(F.sum("documents").alias("documents")).withColumn("total", F.lit(rows.count()))
     cols = ["source", "area", "documents", (F.col("documents") / F.col("total")).alias("share")]
     return parts.select(*cols).unionAll(every.withColumn("source", F.lit(None).cast("string")).select(*cols))
