@@ -80,8 +80,8 @@ def report(tasks: DataFrame, results: DataFrame | None = None) -> DataFrame:
     counts = tasks.agg(F.countDistinct("candidate_id").alias("candidate_count"), F.count("*").alias("review_task_count"))
     if results is None:
         return counts.withColumn("executed_count", F.lit(0).cast("bigint")).withColumn("failure_count", F.lit(0).cast("bigint"))
-    answers = results.agg(F.count("result").alias("executed_count"), F.count("error_type").alias("failure_count"))
-    return counts.withColumn("of", F.lit("all")).join(answers.withColumn("of", F.lit("all")), "of").drop("of")  # one row each
+    done = results.agg(F.count("result").alias("executed"), F.count("error_type").alias("failed")).first()
+    return counts.withColumn("executed_count", F.lit(done.executed)).withColumn("failure_count", F.lit(done.failed))
 
 
 def by_run(states: DataFrame, files: DataFrame) -> DataFrame:
