@@ -238,7 +238,7 @@ def fit(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> Model:
     names = [r.area for r in areas.where("area is not null").select("area").distinct().orderBy("area").collect()]  # the fixed table of areas
     own = labels.where("doc_id is not null and area is not null").groupBy("doc_id").agg(F.collect_set("area").alias("own"), F.count("*").alias("k"))
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)  # the documented bound of the classifier's sample
-    rows = documents.join(F.broadcast(some), "doc_id").where("text is not null").select("doc_id", "text", "own").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().to_pylist()
+    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null").select("doc_id", "text", "own").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().to_pylist()
     keep = [(r["text"], {a for a in r["own"] if a in names}) for r in rows]
     keep = [(t, o) for t, o in keep if o]
     return Model([t for t, _ in keep], [o for _, o in keep], names, df, int(n[term == -1].sum()))
