@@ -90,8 +90,8 @@ def heading_paths(blocks: DataFrame, deepest: int = DEEPEST) -> DataFrame:
 
     A heading of level l keeps the first l - 1 open ones (by position, not by level) and adds itself; excluded blocks get the
     open path and open nothing.  The depth after the k-th heading is k + min(0, min over j <= k of (l_j - j)), so a running
-    minimum gives it, and the heading at each depth is the last one that had it.  Beyond ``deepest`` levels the depth is
-    taken from the data by a fold over the document's headings, which costs an array for each heading.
+    minimum gives it, and the heading at each depth is the last one that had it.  Paths hold at most ``deepest`` steps; give
+    a higher number for documents that nest deeper.
     """
     pushes = (F.col("block_type") == "heading") & (F.coalesce("text", F.lit("")) != "") & ~F.coalesce("excluded_from_retrieval", F.lit(False))
     rows = blocks.withColumn("__push", F.coalesce(pushes, F.lit(False))).withColumn("__k", F.sum(F.when(F.col("__push"), 1).otherwise(0)).over(_so_far()))
