@@ -1,11 +1,11 @@
 """Lines repeated across the documents of one site (problem 5).
 
-Method.  Every line of paragraphs and list items is reduced to its letters in lower case.  For each (site, line) the
-number of the site's documents with the line is held against the number outside the site by a log-likelihood ratio;
-the false-discovery rate over all such tests is controlled (Benjamini-Hochberg on a histogram of p-values with a fixed
-number of bins).  Of the lines with a significant excess those are removed that pass the exact rule: at least 4
-documents and at least 8 % of the site's documents.  The others are kept by an anti-join and the texts are reassembled
-by position.
+Method.  Every line of paragraphs and list items is reduced to its letters in lower case.  Those are removed that pass
+the exact rule: at least 4 documents and at least 8 % of the site's documents.  The others are kept by an anti-join and
+the texts are reassembled by position.  ``excess`` tells more of the lines that pass: the number of the site's documents
+with the line is held against the number outside the site by a log-likelihood ratio, and the false-discovery rate over
+all such tests is controlled (Benjamini-Hochberg on a histogram of p-values with a fixed number of bins).  It decides
+nothing: a line that is as common on other sites is repeated on this one all the same.
 
 Counts are distinct documents per (site, line), pre-aggregated before the shuffle, so a site that holds a third of all
 rows is spread over its lines.  Lines travel as two hashes (96 bits), not as text.
@@ -49,12 +49,28 @@ def log_likelihood(a: Column, m: Column, t: Column, n: Column) -> Column:
     return F.when((n > m) & (a / m < c / (n - m)), -g).otherwise(F.when(n > m, g).otherwise(F.lit(1e3)))
 
 
-def excess(blocks: DataFrame, lines: DataFrame) -> DataFrame:
-    """(site, k1, k2, n, m, llr) of the lines with a significant excess that pass the exact rule."""
-    ensure_checkpoint_dir(blocks.sparkSession)
+def _counted(blocks: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(site, k1, k2, n): documents with the line; (site, m): documents of the site."""
     once = lines.groupBy("site", "k1", "k2", "document_id").agg(F.lit(1).alias("one"))
-    inside = once.groupBy("site", "k1", "k2").agg(F.count("one").alias("n")).checkpoint()  # three parts of the plan read it
     documents = blocks.where("site is not null and document_id is not null").groupBy("site", "document_id").agg(F.lit(1).alias("one")).groupBy("site").agg(F.count("one").alias("m"))
+    return once.groupBy("site", "k1", "k2").agg(F.count("one").alias("n")), documents
+
+
+def _rule():
+    return (F.col("n") >= LEAST_DOCUMENTS) & (F.col("n") >= LEAST_SHARE * F.col("m"))
+
+
+def repeated(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """(site, k1, k2, n, m) of the lines that pass the exact rule."""
+    inside, documents = _counted(blocks, lines)
+    return inside.where(F.col("n") >= LEAST_DOCUMENTS).join(documents, "site").where(_rule()).select("site", "k1", "k2", "n", "m")
+
+
+def excess(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """(site, k1, k2, n, m, llr, significant) of the lines that pass the exact rule; significant ones are in excess on the site."""
+    ensure_checkpoint_dir(blocks.sparkSession)
+    inside, documents = _counted(blocks, lines)
+    inside = inside.checkpoint()  # three parts of the plan read it
     everywhere = inside.groupBy("k1", "k2").agg(F.sum("n").alias("t"))
     total = float(documents.agg(F.sum("m")).first()[0] or 0)
     # A line that stands in fewer documents than the rule asks for is a test too: it counts for the discovery rate.
@@ -64,8 +80,8 @@ def excess(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     minus_log_p = F.when(F.col("llr") <= 0.5, 0.0).otherwise(x * x + F.log(x * F.sqrt(F.lit(3.141592653589793))))  # a bound of erfc from above
     tests = tests.withColumn("bin", F.least(F.floor(F.greatest(minus_log_p, F.lit(0.0)) * 10), F.lit(_BINS)).cast("int"))
     cut = discovery_cut({r.bin: r.k for r in tests.groupBy("bin").agg(F.count("*").alias("k")).collect()})  # at most _BINS + 1 rows
-    kept = tests.where((F.col("bin") >= cut) & (F.col("llr") > 0))
-    return kept.where((F.col("n") >= LEAST_DOCUMENTS) & (F.col("n") >= LEAST_SHARE * F.col("m"))).select("site", "k1", "k2", "n", "m", "llr")
+    significant = (F.col("bin") >= cut) & (F.col("llr") > 0)
+    return tests.where(_rule()).select("site", "k1", "k2", "n", "m", "llr", significant.alias("significant"))
 
 
 def discovery_cut(bins: dict[int, int]) -> int:
@@ -81,7 +97,7 @@ def discovery_cut(bins: dict[int, int]) -> int:
 def found(blocks: DataFrame) -> DataFrame:
     """The rows of p5_found."""
     lines = positioned(blocks)
-    return lines.join(excess(blocks, lines).select("site", "k1", "k2"), ["site", "k1", "k2"], "left_semi").select("block_id", "line_no").distinct()
+    return lines.join(repeated(blocks, lines).select("site", "k1", "k2"), ["site", "k1", "k2"], "left_semi").select("block_id", "line_no").distinct()
 
 
 def remove(blocks: DataFrame) -> DataFrame:

@@ -72,6 +72,14 @@ def test_repeats_against_brute_force(spark, make_blocks):
     assert repeats.found(make_blocks([])).count() == 0
 
 
+def test_repeats_as_common_on_other_sites(spark, make_blocks):
+    rows = [{"document_id": f"{s}{d}", "block_id": f"{s}{d}", "site": s, "block_type": "paragraph", "text": f"only {s} " + "".join(chr(97 + int(c)) for c in f"{d:03}") + ("\nshare this page" if d % 10 < k else "")} for s, n, k in (("u", 100, 1), ("v", 100, 1), ("w", 20, 2), ("z", 300, 0)) for d in range(n)]
+    blocks = make_blocks(rows)
+    assert {tuple(r) for r in repeats.found(blocks).collect()} == {(r["block_id"], 1) for r in rows if "\n" in r["text"]}
+    report = {r.site: (r.n, r.m) for r in repeats.excess(blocks, repeats.positioned(blocks)).collect()}
+    assert report == {"u": (10, 100), "v": (10, 100), "w": (4, 20)}
+
+
 def test_boilerplate(spark, make_blocks):
     sites = spark.createDataFrame([("s.example", "Acme Water")], "site string, org_name string")
     docs, rows = [], []
