@@ -305,11 +305,14 @@ class Reader:
                     self.folded.clear()
                 full = self.folded[title] = _folded(title)
             n = min(len(own), len(full))
-            if n < 6 or own[:1] != full[:1] and own[1:2] != full[1:2] and own[2:4] != full[2:4]:
-                continue  # misreading leaves some of the first signs
+            if n < 6:
+                continue
             if len(own) <= len(full) + 2 and (len(own) >= len(full) - 2 or n >= 18 or n >= 0.6 * len(full)):
                 wrong = sum(a != b for a, b in zip(own, full))
-                if wrong <= (0.2 if len(own) == len(full) else 0.12) * n or _distance(own, full[: len(own)], int(0.12 * n) + 1) <= 0.12 * n:
+                if wrong <= (0.2 if len(own) == len(full) else 0.12) * n:
+                    return True
+                start, most = full[: len(own)], 0.12 * n
+                if _unlike(own, start) <= most and _distance(own, start, int(most) + 1) <= most:
                     return True
         return False
 
@@ -376,6 +379,12 @@ def _folded(text: str) -> str:
     return t
 
 
+def _unlike(a: str, b: str) -> int:
+    """A bound of _distance from below: the signs one line has more of than the other; an edit changes it by at most one."""
+    x, y = Counter(a), Counter(b)
+    return max((x - y).total(), (y - x).total())
+
+
 def _distance(a: str, b: str, most: int) -> int:
     """Edits between two short lines, at most so many."""
     row = list(range(len(b) + 1))

@@ -2,6 +2,7 @@ import base64
 import os
 import random
 
+import numpy as np
 import pytest
 
 from blockloom.llm import mixing, scans, subjects, tokens
@@ -107,3 +108,18 @@ def test_scans(spark, make_blocks):
     text = {r.block_id: r.text for r in scans.repaired(make_blocks(rows), docs).collect()}
     assert text["cut"] == "The water council approved the annual report on the river pressure." and text["mis"] == "The water council approved the annual report." and text["zh"] == "操作员检查了管网压力并记录结果。" and text["run2"] == "first words of it and more words."
     assert scans.found(make_blocks([]), docs).count() == 0
+
+
+def test_running_line_with_a_shifted_beginning():
+    tables = (np.zeros(scans.WORD_ROWS << scans.WORD_BITS, np.float32), np.zeros(1, np.float32), None, None)
+    reader = scans.Reader(tables)
+    title = "Water supply of the northern towns"
+    assert reader.running("- . " + title, [title]) and reader.running("7 " + title, [title]) and reader.running(title[1:], [title])
+    assert not reader.running("Power demand in the southern parts", [title]) and not reader.running("The pump was put in order again.", [title])
+
+
+def test_bound_of_distance():
+    random.seed(4)
+    for _ in range(2000):
+        a, b = ("".join(random.choices("abcde", k=random.randint(0, 9))) for _ in range(2))
+        assert scans._unlike(a, b) <= scans._distance(a, b, 99)
