@@ -167,7 +167,7 @@ def unimportant(lines: DataFrame) -> DataFrame:
     importance = 1 - F.log(F.col("n").cast("double")) / F.log(F.greatest("m", F.lit(LEAST_PAGES + 1)).cast("double"))
     low = on.where((importance <= IMPORTANCE) & (F.col("n") >= LEAST_SHARE * F.col("m"))).select("node")
     # A body doesn't speak of the page's operator: such a node needs only to recur, on whatever sites.
-    named = lines.where("operator").groupBy("node").agg(F.approx_count_distinct("document_id").alias("n"), F.count("*").alias("k")).where("n >= 2").select("node")
+    named = lines.where("operator").groupBy("node").agg(F.min("document_id").alias("a"), F.max("document_id").alias("b")).where("a <> b").select("node")
     return low.union(named).distinct()
 
 

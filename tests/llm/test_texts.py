@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm import boilerplate, lookalikes, markup, repeats
 
@@ -97,3 +98,13 @@ def test_boilerplate(spark, make_blocks):
     kept = {r.block_id: r.text.count("\n") for r in boilerplate.body(make_blocks(rows), documents, sites).where("text is not null").collect()}
     assert kept["b3"] == 2
     assert boilerplate.found(make_blocks([]), documents, sites).count() == 0
+
+
+def test_operator_line_on_two_pages(spark, make_blocks):
+    ids = spark.range(1, 4000).selectExpr("concat('d', id) as b").groupBy("b").agg(F.lit(1)).select("b")
+    pairs = ids.selectExpr("b", "explode(array('d0', b)) as d").groupBy("b").agg(F.approx_count_distinct("d").alias("n")).where("n = 1").orderBy("b").limit(1).collect()
+    two = ["d0", pairs[0].b]  # an approximate count takes them for one
+    sites = spark.createDataFrame([("s.example", "Acme Water")], "site string, org_name string")
+    documents = spark.createDataFrame([(d, None, "html", "s.example", "u") for d in two], "document_id string, title string, file_type string, site string, source_url string")
+    rows = [{"document_id": d, "block_id": d, "block_type": "paragraph", "text": "Acme Water serves you", "block_order": 1} for d in two]
+    assert {tuple(r) for r in boilerplate.found(make_blocks(rows), documents, sites).collect()} == {(d, 0) for d in two}
