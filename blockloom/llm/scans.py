@@ -9,8 +9,9 @@ surroundings support them.  (3) Of several candidates the one that fits the cont
 tried on every sign they know.  (4) Running
 lines (the document's title or its beginning) and page numbers are removed, cut words joined, and lines reflowed.
 
-All tables have a fixed number of hashed buckets, so what is collected and broadcast is bounded whatever the corpus:
-WORD_ROWS x 2**WORD_BITS word counts, 2**TRI_BITS counts of three signs, at most 2**GAP_BITS expected signs, VECTORS x DIM weights.
+The tables of counts and weights have a fixed number of hashed buckets, so they are bounded whatever the corpus:
+WORD_ROWS x 2**WORD_BITS word counts, 2**TRI_BITS counts of three signs, VECTORS x DIM weights.  Expected signs are kept by the
+exact pair of neighbours, for all pairs with LEAST_GAP times one sign between them: as many as the corpus has such pairs.
 
 Only documents whose metadata says scanned are looked at; headings keep their text.  Defined results: null or empty
 text has no noise; metadata that is null or no JSON means not scanned; a document without a title is held against its
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from blockloom.llm.lookalikes import Normalizer
 from blockloom.tables import ensure_checkpoint_dir
 
-WORD_BITS, WORD_ROWS, TRI_BITS, GAP_BITS = 21, 3, 22, 20
+WORD_BITS, WORD_ROWS, TRI_BITS = 21, 3, 22
 VECTORS, DIM, WINDOW = 1 << 15, 16, 2
 #: A word or three signs are rare beside others that are so many times as frequent.
 RATIO = 12
+#: An expected sign must stand so many times between its neighbours; fewer never count as a reading.
+LEAST_GAP = 3
 #: A word with this share of all words is no misread one.
 COMMON = 3e-4
 #: Wrong sign(s), as recognised, and the right one(s). Fixed values.
@@ -96,7 +99,8 @@ def _triples(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gaps(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return _mix(left, right) >> np.uint64(64 - GAP_BITS)
+    """Two neighbours as one number of 42 bits; a code point has 21."""
+    return (left.astype(np.uint64) << np.uint64(21)) | right.astype(np.uint64)
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +143,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.bincount(hashed.ravel(), np.tile(n, WORD_ROWS), WORD_ROWS << WORD_BITS)
 
     def rows(kind: int, bucket: np.ndarray, sign: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sign.astype(np.int32)), pa.array(n.astype(np.float64))], names=["kind", "bucket", "sign", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(bucket.astype(np.int64)), pa.array(sign.astype(np.int32)), pa.array(n.astype(np.float64))], names=["kind", "bucket", "sign", "n"])
 
     for kind, full in ((0, table), (1, tri), (2, vec.T.ravel())):
         at = np.flatnonzero(full)
@@ -150,18 +154,18 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(blocks: DataFrame) -> tuple:
     """The broadcast tables, learned over all blocks."""
-    counts = blocks.select("text").mapInArrow(_learn, "kind int, bucket int, sign int, n double").groupBy("kind", "bucket", "sign").agg(F.sum("n").alias("n"))
+    counts = blocks.select("text").mapInArrow(_learn, "kind int, bucket bigint, sign int, n double").groupBy("kind", "bucket", "sign").agg(F.sum("n").alias("n"))
     best = F.max_by("sign", F.struct("n", "sign")).alias("sign")
     top = counts.groupBy("kind", "bucket").agg(F.sum("n").alias("all"), F.max("n").alias("n"), best)
-    got = top.select("kind", "bucket", "sign", F.when(F.col("kind") == 3, F.col("n")).otherwise(F.col("all")).cast("float").alias("n")).where("kind <> 3 or n >= 3").toArrow()
+    got = top.select("kind", "bucket", "sign", F.when(F.col("kind") == 3, F.col("n")).otherwise(F.col("all")).cast("float").alias("n")).where((F.col("kind") != 3) | (F.col("n") >= LEAST_GAP)).toArrow()
     kind, bucket, sign, n = (got[c].to_numpy() for c in ("kind", "bucket", "sign", "n"))
     out = []
     for k, (_, size) in enumerate(_PARTS):
         table = np.zeros(size, np.float32)
         table[bucket[kind == k]] = n[kind == k]
         out.append(table)
-    expected = np.zeros(1 << GAP_BITS, np.uint32)
-    expected[bucket[kind == 3]] = sign[kind == 3]
+    order = np.argsort(bucket[kind == 3])
+    expected = bucket[kind == 3][order].astype(np.uint64), sign[kind == 3][order].astype(np.uint32)
     vec = out[2].reshape(VECTORS, DIM)
     vec -= vec.mean(0)
     vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-6)
@@ -253,7 +257,7 @@ class Reader:
         seen = np.full(len(codes), 1e9, np.float32)
         seen[mid] = self.tri[bucket]
         want = np.zeros(len(codes), np.uint32)
-        want[mid] = self.expected[_gaps(codes[mid - 1], codes[mid + 1])]
+        want[mid] = self.wanted(codes[mid - 1], codes[mid + 1])
         out = []
         for i in np.flatnonzero((want > 0) & (want != codes)).tolist():
             if not 0x3400 <= want[i] < 0xA000:
@@ -262,11 +266,20 @@ class Reader:
             old_around = self.around(codes[max(0, i - 2) : i + 3])
             new[i - max(0, i - 2)] = want[i]
             new_around = self.around(new)
-            if len(new_around) == len(old_around) and all(n >= 3 and n >= RATIO * o for n, o in zip(new_around, old_around)):
+            if len(new_around) == len(old_around) and all(n >= LEAST_GAP and n >= RATIO * o for n, o in zip(new_around, old_around)):
                 side = codes[max(0, i - 2) : i + 3].tolist()
                 out.append((i, chr(codes[i]), chr(want[i]), hash(tuple(side)) & 0x7FFFFFFF, hash(tuple(codes[i - 1 : i + 2].tolist())) & 0x7FFFFFFF, float(seen[i])))
         return out
 
+    def wanted(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The expected signs between neighbours, 0 where none is known."""
+        gaps, signs = self.expected
+        if not len(gaps):
+            return np.zeros(len(left), np.uint32)
+        pairs = _gaps(left, right)
+        at = np.minimum(np.searchsorted(gaps, pairs), len(gaps) - 1)
+        return np.where(gaps[at] == pairs, signs[at], np.uint32(0))
+
     def misread_known(self, text: str, right: dict[int, int]) -> list[tuple[int, str]]:
         """(position, right sign) of the signs that a learned link explains; neighbours are put right together."""
         codes = _codes(text)

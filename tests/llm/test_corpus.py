@@ -123,3 +123,15 @@ def test_bound_of_distance():
     for _ in range(2000):
         a, b = ("".join(random.choices("abcde", k=random.randint(0, 9))) for _ in range(2))
         assert scans._unlike(a, b) <= scans._distance(a, b, 99)
+
+
+def test_expected_signs_of_all_neighbours(spark, make_blocks):
+    # So many pairs of neighbours that some would share one of 2^20 hashed gaps.
+    signs = [chr(0x4E00 + i) for i in range(100)]
+    pairs = [(a, b) for a in signs for b in signs]
+    text = [a + chr(0x6E00 + (i * 7919) % 5000) + b for i, (a, b) in enumerate(pairs)]
+    blocks = make_blocks([{"document_id": "d", "block_id": f"b{k}", "block_type": "paragraph", "text": "，".join(text[k :: 20] * 3)} for k in range(20)])
+    reader = scans.Reader(scans.learn(blocks))
+    got = reader.wanted(*(np.array([ord(p[k]) for p in pairs], np.uint32) for k in (0, 1)))
+    assert got.tolist() == [ord(t[1]) for t in text]
+    assert reader.wanted(np.array([65], np.uint32), np.array([66], np.uint32)).tolist() == [0]
