@@ -4,8 +4,9 @@ Method: a site style tree.  The pages of one site are merged line by line: a con
 blanks and the operator's name left out, look-alike signs and markup undone), a presentation node is the frame that
 numbers stand in.  The importance of a content node is one minus the entropy of its distribution over the site's pages,
 in units of the logarithm of their number: a line that stands on all pages has importance 0, one on a single page 1.
-Lines of low importance on any site of enough pages go on every page.  Frames that many titles share mark lines that
-name other articles; the page's own title is the one that is kept.  A path goes with its first step.
+Lines of low importance on any site of enough pages go on every page.  Lines that are the title of another page of the
+site, also after a label, name other articles, and so do lines of the frames that many titles share; the page's own title
+is the one that is kept.  A path goes with its first step.
 
 Counts are distinct documents per (site, node), pre-aggregated; nodes travel as hashes.  The frames kept are those in
 at least FRAME_SHARE of the titles, so there are at most (frames per title) / FRAME_SHARE of them.
@@ -18,7 +19,6 @@ letters are body; repeated rows count once.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,6 +40,7 @@ _SECTION = re.compile(r"^\s*(?:#{1,6}\s+)?(?:\d{1,2}\. |[一二三四五六七
 _STEP = re.compile(r"\s(?:>|›|»|/|\||·|→)\s")
 _SENTENCE = re.compile(r"[。！？]|[.!?] [A-ZÀ-Þ]|[.;；]$")
 _BOLD = re.compile(r"^\s*'''(.+?)'''\s+\[\[[^\]]*\]\]\s*$")
+_LABEL = re.compile(r"[^:：0-9]{2,40}[:：] ?(?=\S)")
 _MARKUP = re.compile(r"[<\[{*\\#'&~`]")
 
 
@@ -53,7 +54,7 @@ def _letters(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalpha())
 
 
-def _key(text: str) -> int:
+def _key(text: str | bytes) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
@@ -78,15 +79,15 @@ class Lines:
         low = line.lower()
         return _letters(self.names.sub(" ", low) if self.names else low)
 
-    def of(self, line: str) -> tuple[int | None, int | None, bool, bool, bool, int]:
-        """(node, node of the first step of a path, names the site's operator, names an article, is a section's heading, key for titles)."""
+    def of(self, line: str) -> tuple[int | None, int | None, bool, bool, bool, int, int | None]:
+        """(node, node of the first step of a path, names the site's operator, names an article, is a section's heading, key for titles, key of what a label stands before)."""
         plain = self.plain(line)
         node = self.node(plain)
         if not node:
             if self.names and self.names.search(plain.lower()):
                 node = "\x00name"
             else:
-                return None, None, False, False, False, 0
+                return None, None, False, False, False, 0, None
         steps = _STEP.split(plain, maxsplit=1)
         first = self.node(steps[0]) if len(steps) > 1 else ""
         article = len(plain) <= LONGEST_TITLE and not _SENTENCE.search(plain) and not _SECTION.match(plain) and not self.known.isdisjoint(frames(plain))
@@ -95,11 +96,12 @@ class Lines:
         if self.names and self.names.search(plain.lower()):
             node += "\x00"  # it speaks of the operator
         bold = _BOLD.match(line)
-        return _key(node), _key(first) if first else None, node[-1] == "\x00", article, bool(_SECTION.match(plain)), title_key(self.plain(bold[1]) if bold else plain)
+        label = _LABEL.match(plain)
+        return _key(node), _key(first) if first else None, node[-1] == "\x00", article, bool(_SECTION.match(plain)), title_key(self.plain(bold[1]) if bold else plain), title_key(plain[label.end() :]) if label else None
 
 
 def title_key(title: str) -> int:
-    return zlib.crc32("".join(c for c in title.lower() if c.isalnum()).encode("utf-8", "surrogatepass"))
+    return _key("".join(c for c in title.lower() if c.isalnum()).encode("utf-8", "surrogatepass"))
 
 
 def _count_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,7 @@ def _nodes(names: list[str], known: set[str]):
         lines = Lines(names, known)
         memo: dict = {}
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             src = []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for no, line in enumerate(text.split("\n")):
@@ -137,9 +139,9 @@ def _nodes(names: list[str], known: set[str]):
                         for c, v in zip(cols, (no, *got)):
                             c.append(v)
             at = pa.array(src, pa.int64())
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
             keep = batch.drop_columns(["text"])
-            yield pa.RecordBatch.from_arrays([*keep.take(at).columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*keep.schema.names, "line_no", "node", "first", "operator", "article", "section", "tkey"])
+            yield pa.RecordBatch.from_arrays([*keep.take(at).columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*keep.schema.names, "line_no", "node", "first", "operator", "article", "section", "tkey", "lkey"])
 
     return run
 
@@ -155,7 +157,7 @@ def nodes(blocks: DataFrame, documents: DataFrame, sites: DataFrame) -> DataFram
     ours = blocks.where(F.col("text").isNotNull() & ~F.coalesce(F.col("block_type"), F.lit("")).isin("code", "table", "image"))
     ours = ours.select("document_id", "block_id", "block_order", F.col("block_type").eqNullSafe("heading").alias("heading"), F.coalesce("heading_level", F.lit(0)).alias("level"), "text")
     rows = ours.join(_pages(documents).select("document_id", "page_site"), "document_id")
-    schema = "document_id string, block_id string, block_order int, heading boolean, level int, page_site string, line_no int, node bigint, first bigint, operator boolean, article boolean, section boolean, tkey bigint"
+    schema = "document_id string, block_id string, block_order int, heading boolean, level int, page_site string, line_no int, node bigint, first bigint, operator boolean, article boolean, section boolean, tkey bigint, lkey bigint"
     return rows.select("document_id", "block_id", "block_order", "heading", "level", "page_site", "text").mapInArrow(_nodes(names, title_frames(documents)), schema)
 
 
@@ -178,6 +180,12 @@ def _title_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], names=["document_id", "own"])
 
 
+def _titles(documents: DataFrame) -> DataFrame:
+    """(page_site, own, one, other): title keys of each site, with two of the documents that have them (the same one if it is alone)."""
+    keys = documents.where("lower(file_type) = 'html'").select("document_id", "title").mapInArrow(_title_keys, "document_id string, own bigint").where("own is not null")
+    return keys.join(_pages(documents).select("document_id", "page_site"), "document_id").groupBy("page_site", "own").agg(F.min("document_id").alias("one"), F.max("document_id").alias("other"))
+
+
 def classified(blocks: DataFrame, documents: DataFrame, sites: DataFrame) -> DataFrame:
     """(document_id, block_id, line_no, boilerplate) of every line with letters."""
     ensure_checkpoint_dir(blocks.sparkSession)
@@ -185,11 +193,17 @@ def classified(blocks: DataFrame, documents: DataFrame, sites: DataFrame) -> Dat
     low = unimportant(lines).withColumn("low", F.lit(True))
     own = _pages(documents).select("document_id", "title").mapInArrow(_title_keys, "document_id string, own bigint")
     rows = lines.join(low, "node", "left").join(low.select(F.col("node").alias("first"), F.col("low").alias("path")), "first", "left").join(own, "document_id", "left")
+    titles = _titles(documents)
+    for key, name in (("tkey", "named"), ("lkey", "labelled")):
+        other = titles.select("page_site", F.col("own").alias(key), F.col("one").alias("__one"), F.col("other").alias("__other"))
+        is_other = (F.col("__one") != F.col("document_id")) | (F.col("__other") != F.col("document_id"))
+        rows = rows.join(other, ["page_site", key], "left").withColumn(name, F.coalesce(is_other, F.lit(False))).drop("__one", "__other")
+    rows = rows.withColumn("article", F.col("article") | F.col("named") | F.col("labelled"))
     rows = rows.withColumn("is_own", F.coalesce(F.col("tkey") == F.col("own"), F.lit(False)))
     page = Window.partitionBy("document_id").orderBy("block_order", "block_id", "line_no")
     whole = Window.partitionBy("document_id")
     rows = rows.dropDuplicates(["document_id", "block_id", "line_no"])
-    article = F.col("article") & F.col("first").isNull()
+    article = F.col("article") & F.col("first").isNull() & ~F.col("labelled")
     rows = rows.withColumn("plain", article)
     alone = F.col("plain") & ~F.lag("plain", 1, False).over(page)
     # The page's own title: the line that repeats the title of record; where none does (it is missing or garbled), the top

@@ -108,3 +108,12 @@ def test_operator_line_on_two_pages(spark, make_blocks):
     documents = spark.createDataFrame([(d, None, "html", "s.example", "u") for d in two], "document_id string, title string, file_type string, site string, source_url string")
     rows = [{"document_id": d, "block_id": d, "block_type": "paragraph", "text": "Acme Water serves you", "block_order": 1} for d in two]
     assert {tuple(r) for r in boilerplate.found(make_blocks(rows), documents, sites).collect()} == {(d, 0) for d in two}
+
+
+def test_links_with_long_or_unnumbered_titles(spark, make_blocks):
+    sites = spark.createDataFrame([("s.example", "Acme Water")], "site string, org_name string")
+    titles = ["On the pumps of " + "very " * 30 + "old towns", "How water finds its way", "Why wells run dry"]
+    documents = spark.createDataFrame([(f"d{i}", t, "html", "s.example", "u") for i, t in enumerate(titles)] + [("o", "Of another site", "html", "t.example", "u")], "document_id string, title string, file_type string, site string, source_url string")
+    text = [[titles[0], "words of one", titles[1], "Of another site"], [titles[1], "words of two", "Next: " + titles[0]], [titles[2], "words of three", titles[0]]]
+    rows = [{"document_id": f"d{i}", "block_id": f"b{i}", "block_type": "paragraph", "text": "\n".join(t), "block_order": 1} for i, t in enumerate(text)]
+    assert {tuple(r) for r in boilerplate.found(make_blocks(rows), documents, sites).collect()} == {("b0", 2), ("b1", 2), ("b2", 2)}
