@@ -90,8 +90,9 @@ def heading_paths(blocks: DataFrame, deepest: int = DEEPEST) -> DataFrame:
 
     A heading of level l keeps the first l - 1 open ones (by position, not by level) and adds itself; excluded blocks get the
     open path and open nothing.  The depth after the k-th heading is k + min(0, min over j <= k of (l_j - j)), so a running
-    minimum gives it, and the heading at each depth is the last one that had it.  Paths hold at most ``deepest`` steps; give
-    a higher number for documents that nest deeper.
+    minimum gives it, and the heading at each depth is the last one that had it.  Each of the first ``deepest`` steps is a
+    window function; deeper steps are looked up in the list of the document's deeper headings so far, which is empty where
+    none nest so deep.
     """
     pushes = (F.col("block_type") == "heading") & (F.coalesce("text", F.lit("")) != "") & ~F.coalesce("excluded_from_retrieval", F.lit(False))
     rows = blocks.withColumn("__push", F.coalesce(pushes, F.lit(False))).withColumn("__k", F.sum(F.when(F.col("__push"), 1).otherwise(0)).over(_so_far()))
@@ -101,9 +102,14 @@ def heading_paths(blocks: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     rows = rows.withColumn("__open", F.coalesce(F.last("__depth", ignorenulls=True).over(_so_far()), F.lit(0)))
     steps = [F.last(F.when(F.col("__push") & (F.col("__depth") == d), F.col("text")), ignorenulls=True).over(_so_far()) for d in range(1, deepest + 1)]
     rows = rows.withColumn("__steps", F.array(*steps))
+    deeper = F.when(F.col("__push") & (F.col("__depth") > deepest), F.struct(F.col("__depth").alias("d"), "text"))
+    rows = rows.withColumn("__deeper", F.collect_list(deeper).over(_so_far()))
+    last = lambda d: F.element_at(F.filter("__deeper", lambda h: h.d == d), -1).text
+    tail = F.transform(F.sequence(F.lit(deepest + 1).cast("bigint"), F.col("__open").cast("bigint")), last)
     path = F.when(F.col("__open") > 0, F.slice("__steps", F.lit(1), F.greatest("__open", F.lit(1)).cast("int"))).otherwise(F.array().cast("array<string>"))
+    path = F.when(F.col("__open") > deepest, F.concat("__steps", tail)).otherwise(path)
     own = F.coalesce(F.size("heading_path") > 0, F.lit(False)) & ~F.col("__push") & ~F.coalesce("excluded_from_retrieval", F.lit(False))
-    return rows.withColumn("heading_path", F.when(own, F.col("heading_path")).otherwise(path)).drop("__push", "__k", "__depth", "__open", "__steps")
+    return rows.withColumn("heading_path", F.when(own, F.col("heading_path")).otherwise(path)).drop("__push", "__k", "__depth", "__open", "__steps", "__deeper")
 
 
 def repair(blocks: DataFrame) -> DataFrame:

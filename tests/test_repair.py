@@ -77,3 +77,11 @@ def test_one_exchange_serves_everything(spark, make_blocks):
     df = pipeline.process(pipeline.prepared(make_blocks([para("d", 1, "t", 1, None)])))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_heading_paths_of_any_depth(spark, make_blocks):
+    levels = [*range(1, 31), 25, 17, 18, 5, *range(6, 20), 17]
+    rows = [{"document_id": "d", "block_id": f"d_{i}", "block_type": "heading", "text": f"t{i}", "heading_level": x, "heading_path": None, "block_order": i} for i, x in enumerate(levels)]
+    rows.append({"document_id": "d", "block_id": "d_p", "block_type": "paragraph", "text": "p", "heading_path": None, "block_order": len(levels)})
+    got = {r.block_id: r.heading_path for r in repair.heading_paths(make_blocks(rows).withColumn("pos", F.col("block_order"))).collect()}
+    assert got == fold(rows) and len(got["d_29"]) == 30 and len(got["d_p"]) == 17
