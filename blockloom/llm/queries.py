@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from blockloom.llm import boilerplate, lookalikes, markup, mixing, mojibake, repeats, scans, subjects, tokens
 from blockloom.tables import table
 
+#: Where the queries of problems 8 and 9 find the vocabulary file of their tokenizer.
+VOCABULARY = os.environ.get("BLOCKLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def p1_found(spark, sf):
     return mojibake.found(table(spark, sf, "blocks"), table(spark, sf, "parsed_documents"))
@@ -56,15 +61,15 @@ def p7_body(spark, sf):
 
 
 def p8_ids(spark, sf):
-    return tokens.encode(table(spark, sf, "documents"))
+    return tokens.encode(table(spark, sf, "documents"), VOCABULARY)
 
 
 def p9_mix(spark, sf):
-    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), VOCABULARY)[0]
 
 
 def p9_shares(spark, sf):
-    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), VOCABULARY)[1]
 
 
 def _subjects(spark, sf):

@@ -17,7 +17,6 @@ text; texts of any length are encoded whole; every row gives one row, repeated o
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +26,6 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = os.environ.get("BLOCKLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Words a task remembers before it begins anew.
 WORDS = 400_000
 #: How text is cut into words before merges. Fixed value; white space is Unicode's.
@@ -193,11 +191,11 @@ def _run(frame: DataFrame, keys: list[str], text: str | Column, path: str, count
     return picked.mapInArrow(_ids(path, shared, counting), schema)
 
 
-def encode(documents: DataFrame, keys: list[str] | None = None, text: str = "text", path: str = VOCABULARY) -> DataFrame:
+def encode(documents: DataFrame, path: str, keys: list[str] | None = None, text: str = "text") -> DataFrame:
     """The keys and ``ids`` of every row."""
     return _run(documents, keys or ["doc_id"], text, path, False)
 
 
-def count(documents: DataFrame, keys: list[str] | None = None, text: str = "text", path: str = VOCABULARY) -> DataFrame:
+def count(documents: DataFrame, path: str, keys: list[str] | None = None, text: str = "text") -> DataFrame:
     """The keys and ``n_tokens`` of every row."""
     return _run(documents, keys or ["doc_id"], text, path, True)

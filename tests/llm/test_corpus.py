@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 from blockloom.llm import mixing, scans, subjects, tokens
+from blockloom.llm.queries import VOCABULARY
 
-VOCABULARY = tokens.VOCABULARY
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 
 
@@ -33,9 +33,9 @@ def test_tokens_against_the_library():
 @needs_vocabulary
 def test_token_frames(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello hello"), (3, "hello hello")], "doc_id bigint, text string")
-    got = sorted((r.doc_id, r.ids) for r in tokens.encode(df).collect())
+    got = sorted((r.doc_id, r.ids) for r in tokens.encode(df, VOCABULARY).collect())
     assert got[0] == (1, []) and got[1] == (2, []) and got[2] == got[3] and len(got[2][1]) == 2
-    assert tokens.encode(df.limit(0)).count() == 0
+    assert tokens.encode(df.limit(0), VOCABULARY).count() == 0
 
 
 def test_fill_against_brute_force():
@@ -50,6 +50,27 @@ def test_fill_against_brute_force():
         assert all(n <= counts[x] for x, n in got.items()) and sum(x * n for x, n in got.items()) == max(s for s in sums if s <= target)
 
 
+@pytest.mark.parametrize(("target", "counts"), [(200_000, {70_000: 1, 90_000: 1, 110_000: 1}), (131_072, {131_072: 1, 65_536: 2, 100_000: 3}), (131_072, {100_000: 3, 65_536: 2})])
+def test_long_texts_are_fitted_too(target, counts):
+    for seed in range(20):
+        got = mixing.draw(target, counts, str(seed))
+        assert sum(x * n for x, n in got.items()) == target and all(n <= counts[x] for x, n in got.items())
+
+
+@needs_vocabulary
+def test_last_bucket_is_divided(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_TEXTS", 5)
+    monkeypatch.setattr(mixing, "MOST_TEXTS", 20)
+    monkeypatch.setattr(mixing, "MOST_BUCKETS", 4)
+    monkeypatch.setattr(mixing, "WINDOW", 8)
+    random.seed(6)
+    docs = spark.createDataFrame([(i, " ".join(random.choices(["water", "pump", "valve", "town"], k=random.randint(3, 12))) + f" {i}", "ab"[i % 4 == 0]) for i in range(1200)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mixed, shares = mixing.mix(docs, targets, path=VOCABULARY)
+    assert all(0 <= r.budget_tokens - r.actual_tokens < 8 < r.budget_tokens for r in shares.collect())
+    assert mixed.groupBy("source").max("repeats").orderBy("source").collect()[0][1] == 1
+
+
 @needs_vocabulary
 def test_mix(spark):
     random.seed(1)
@@ -58,13 +79,13 @@ def test_mix(spark):
     rows += [(1000, rows[0][1], "b"), (1001, None, "a"), (1002, "", "a"), (1003, "only", None), (1004, "free", "zz")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.3, 1), ("c", 0.1, 3), ("none", 0.0, 1)], "source string, target_share double, max_repeats int")
-    mixed, shares = mixing.mix(docs, targets)
+    mixed, shares = mixing.mix(docs, targets, path=VOCABULARY)
     most = {"a": 2, "b": 1, "c": 3}
     got = mixed.collect()
     assert len({r.doc_id for r in got}) == len(got) and all(1 <= r.repeats <= most[r.source] for r in got) and 1000 not in {r.doc_id for r in got}
     share = {r.source: r for r in shares.collect()}
     assert all(0 <= share[s].budget_tokens - share[s].actual_tokens < 5 and abs(share[s].actual_share - share[s].target_share) < 1e-3 for s in most) and share["none"].actual_tokens == 0
-    assert mixing.mix(docs.limit(0), targets)[0].count() == 0
+    assert mixing.mix(docs.limit(0), targets, path=VOCABULARY)[0].count() == 0
 
 
 def test_subjects(spark):

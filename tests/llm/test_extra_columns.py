@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.llm import boilerplate, lookalikes, markup, mojibake, repeats, scans, subjects, tokens
+from blockloom.llm.queries import VOCABULARY
 
 CLASHES = ["pos", "k1", "k2", "n", "m", "node", "first", "value", "field", "noise", "links", "fix", "titles", "page_site", "own", "score", "line", "line_no", "k", "restored", "ids", "n_tokens", "area", "share", "record_key", "place", "__text", "bucket"]
 
@@ -47,4 +48,4 @@ def test_documents(spark):
     areas = spark.createDataFrame([("law", ""), ("sport", "")], "area string, description string")
     labels = spark.createDataFrame([(1, "law", 1), (2, "sport", 1)], "doc_id bigint, area string, annotator int")
     assert subjects.found(with_clashes(docs), areas, labels).count() >= 0
-    assert tokens.encode(with_clashes(docs)).columns == ["doc_id", "ids"] and tokens.encode(with_clashes(docs)).count() == 4
+    assert tokens.encode(with_clashes(docs), VOCABULARY).columns == ["doc_id", "ids"] and tokens.encode(with_clashes(docs), VOCABULARY).count() == 4
