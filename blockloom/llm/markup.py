@@ -11,19 +11,22 @@ so it can't decide them; the README says so.  The grammar needs no second page a
 and partition of the rows.
 
 Defined results: null text and blocks of type code are no cases and stay as they are; empty text is no case; texts of
-any length are read whole by a scanner without backtracking over the text; repeated rows give equal results.
+any length are read whole in linear time (a closing sign is looked for once where there is none); repeated rows give equal
+results.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm import lookalikes
 from blockloom.llm.lookalikes import Normalizer
 
 _TAGS = (
@@ -33,20 +36,20 @@ _TAGS = (
 ).split()
 _INLINE = re.compile(
     r"(?P<sup><sup>(?P<raised>[0-9n+-]+)</sup>)"
-    r"|(?P<comment><!--(?:(?!-->)[\s\S])*-->)"
+    r"|(?P<comment><!--)"
     rf"|(?P<tag></?(?:{'|'.join(sorted(_TAGS, key=len, reverse=True))})(?:\s[^<>]*)?/?>)"
     r"|(?P<entity>&(?:[a-zA-Z][a-zA-Z0-9]{1,9}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});)"
     r"|(?P<fence>^```[^\n`]*\n[\s\S]*?(?:\n```[ \t]*$|\Z))"
-    r"|(?P<env>\\begin\{(?P<envname>[a-zA-Z]+\*?)\}(?P<envbody>[\s\S]*?)\\end\{(?P=envname)\})"
+    r"|(?P<env>\\begin\{(?P<envname>[a-zA-Z]+\*?)\})"
     r"|(?P<cmd>\\(?P<cmdname>textbf|textit|texttt|emph|underline|textsc|section|subsection|subsubsection|chapter|paragraph|title|caption|footnote|cite|citep|citet|ref|eqref|label|url|href|mbox|text)\*?\{(?P<arg>[^{}]*)\})"
     r"|(?P<item>\\item\b)"
     r"|(?P<escape>\\[%&#_{}$])"
-    r"|(?P<formula>\$\$[^$]+\$\$|\$[^$\n]*(?:\\[a-zA-Z]|[_^]\{)[^$\n]*\$|\\\([\s\S]+?\\\)|\\\[[\s\S]+?\\\])"
-    r"|(?P<image>!\[(?P<alt>[^\]\n]*)\]\((?P<src>[^()\s]+)[^()\n]*\))"
+    r"|(?P<formula>\$\$[^$]+\$\$|\$[^$\n]+\$|\\[(\[])"
+    r"|(?P<image>!\[(?P<alt>[^\]\[\n]*)\]\((?P<src>[^()\s]+)[^()\n]*\))"
     r"|(?P<link>\[(?P<label>[^\]\[\n]+)\]\((?P<url>[^()\s]+)[^()\n]*\))"
     r"|(?P<wikilink>\[\[(?P<target>[^\]\[|\n]+)(?:\|(?P<shown>[^\]\[\n]*))?\]\])"
     r"|(?P<template>\{\{(?P<tbody>[^{}]*)\}\})"
-    r"|(?P<wikitable>^[ \t]*\{\|(?P<wbody>[\s\S]*?)\|\})"
+    r"|(?P<wikitable>^[ \t]*\{\|)"
     r"|(?P<wbold>'{2,5})"
     r"|(?P<bold>\*\*(?=\S)(?P<btext>[^*\n]+?)(?<=\S)\*\*|(?<![\w_])__(?=\S)(?P<utext>[^_\n]+?)(?<=\S)__(?![\w_]))"
     r"|(?P<strike>~~(?=\S)(?P<stext>[^~\n]+?)~~)"
@@ -55,9 +58,13 @@ _INLINE = re.compile(
     re.M,
 )
 _LINE = re.compile(
-    r"^(?:(?P<h>[ \t]{0,3}#{1,6}[ \t]+(?P<htext>[^\n]*?)[ \t#]*)|(?P<wh>(?P<eq>={2,6})[ \t]*(?P<whtext>[^=\n][^\n]*?)[ \t]*(?P=eq))|(?P<quote>>[ \t]?(?P<qtext>[^\n]*))"
+    r"^(?:(?P<h>[ \t]{0,3}#{1,6}[ \t]+(?P<htext>[^\n]*))|(?P<wh>(?P<eq>={2,6})[ \t]*(?P<whtext>[^=\n][^\n]*)(?P=eq))|(?P<quote>>[ \t]?(?P<qtext>[^\n]*))"
     r"|(?P<box>[ \t]*[-*+][ \t]+\[[ xX]\][ \t]+(?P<xtext>[^\n]*))|(?P<star>[ \t]*\*+[ \t]+(?P<ltext>[^\n]*\S[^\n]*))|(?P<dash>[ \t]*[-+][ \t]+(?P<dtext>[^\n]*[^\W\d_][^\n]*))|(?P<row>\|(?P<cells>[^\n]*)\|)|(?P<under>(?:={3,}|-{3,}(?=\n|\Z))))[ \t]*$"
 )
+_MATHS = re.compile(r"\\[a-zA-Z]|[_^]\{")
+_ENDS = re.compile(r"\\end\{([a-zA-Z]+\*?)\}")
+#: What is open until its closing sign, wherever that is.
+_CLOSING = {"<!--": "-->", "\\(": "\\)", "\\[": "\\]", "{|": "|}"}
 _DASH = re.compile(r"^[ \t]*[-+][ \t]+\S*[^\W\d_]")
 _RULE_ROW = re.compile(r"^\|[ \t:|-]*-{2,}[ \t:|-]*\|?$")
 _SUP = str.maketrans("0123456789+-n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻ⁿ")
@@ -70,31 +77,61 @@ class Tree:
 
     def __init__(self, text: str) -> None:
         self.nodes: list[tuple[str, int, int, str]] = []
-        for m in _INLINE.finditer(text):
-            self._inline(m)
+        self.text = text
+        self.nowhere: set[str] = set()  # closing signs that don't come any more
+        self.ends: dict[str, list[int]] | None = None
+        at = 0
+        while m := _INLINE.search(text, at):
+            end = self._inline(m)
+            at = m.start() + 1 if end is None else max(end, m.start() + 1)
         self._lines(text)
 
-    def _add(self, kind: str, m: re.Match, new: str) -> None:
-        self.nodes.append((kind, m.start(), m.end(), new))
-
-    def _inline(self, m: re.Match) -> None:
-        kind = m.lastgroup
+    def _closed(self, opening: str, start: int, least: int = 0) -> int:
+        """Where the closing sign of what opens before ``start`` begins, -1 if nowhere: each sign is missed once only."""
+        sign = _CLOSING[opening]
+        if sign in self.nowhere:
+            return -1
+        at = self.text.find(sign, start + least)
+        if at < 0:
+            self.nowhere.add(sign)
+        return at
+
+    def _end_of(self, name: str, start: int) -> int:
+        """Where the environment of a name ends that begins before ``start``, -1 if nowhere."""
+        if self.ends is None:
+            self.ends = {}
+            for m in _ENDS.finditer(self.text):
+                self.ends.setdefault(m[1], []).append(m.start())
+        places = self.ends.get(name, [])
+        k = bisect_left(places, start)
+        return places[k] if k < len(places) else -1
+
+    def _inline(self, m: re.Match) -> int | None:
+        """Adds the node that begins here and gives its end; None if there is none."""
+        end = m.end()
         for kind in ("sup", "comment", "tag", "entity", "fence", "env", "cmd", "item", "escape", "formula", "image", "link", "wikilink", "template", "wikitable", "wbold", "bold", "strike", "code", "footnote"):
             if m[kind] is not None:
                 break
         new = ""
         if kind == "sup":
             kind, new = "tag", m["raised"].translate(_SUP)
+        elif kind == "comment":
+            if (at := self._closed("<!--", end)) < 0:
+                return None
+            end = at + 3
         elif kind == "tag":
             new = self._tag(m["tag"])
         elif kind == "entity":
             new = html.unescape(m["entity"]).replace("\xa0", " ")
             if new == m["entity"]:
-                return
+                return end
         elif kind == "fence":
             new = "\n".join(m["fence"].rstrip().split("\n")[1:]).removesuffix("```").rstrip("\n")
         elif kind == "env":
-            kind, new = self._environment(m["envname"], m["envbody"])
+            if (at := self._end_of(m["envname"], end)) < 0:
+                return None
+            kind, new = self._environment(m["envname"], self.text[end:at])
+            end = at + len(m["envname"]) + 6
         elif kind == "cmd":
             name = m["cmdname"]
             new = "" if name in ("cite", "citep", "citet", "ref", "eqref", "label") else m["arg"]
@@ -105,6 +142,13 @@ class Tree:
             new = m["escape"][1:]
         elif kind == "formula":
             new = m["formula"]
+            if new in _CLOSING:
+                if (at := self._closed(new, end, 1)) < 0:
+                    return None
+                end = at + 2
+                new = self.text[m.start() : end]
+            elif new[:2] != "$$" and not _MATHS.search(new):
+                return None
         elif kind == "image":
             new = m["alt"]
         elif kind == "link":
@@ -115,14 +159,17 @@ class Tree:
             parts = [p for p in m["tbody"].split("|")[1:] if "=" not in p]
             new = parts[-1] if parts else ""
         elif kind == "wikitable":
-            kind, new = "table", self._wikitable(m["wbody"])
+            if (at := self._closed("{|", end)) < 0:
+                return None
+            kind, new, end = "table", self._wikitable(self.text[end:at]), at + 2
         elif kind == "bold":
             new = m["btext"] or m["utext"]
         elif kind == "strike":
             new = m["stext"]
         elif kind == "code":
             new = m["ctext"]
-        self._add(kind, m, new)
+        self.nodes.append((kind, m.start(), end, new))
+        return end
 
     @staticmethod
     def _tag(tag: str) -> str:
@@ -180,9 +227,9 @@ class Tree:
             if m:
                 add = lambda kind, new: self.nodes.append((kind, start, start + len(line), new))  # noqa: E731,B023
                 if m["h"] is not None:
-                    add("heading", m["htext"])
+                    add("heading", m["htext"].rstrip(" \t#"))
                 elif m["wh"] is not None:
-                    add("heading", m["whtext"])
+                    add("heading", m["whtext"].rstrip(" \t"))
                 elif m["quote"] is not None and (line[1:2] in (" ", "\t", "") or len(line) > 1 and line[1] not in "=<>0123456789"):
                     add("quote", m["qtext"])
                 elif m["box"] is not None:
@@ -206,11 +253,13 @@ def render(text: str, tree: Tree, block_type: str, depth: int = 1) -> tuple[str,
     lines = {n for n in tree.nodes if n[0] in ("heading", "quote", "list", "table") and (n[1] == 0 or text[n[1] - 1] == "\n")}
     inline = sorted((n for n in tree.nodes if n not in lines), key=lambda n: (n[1], -n[2]))
 
+    starts = [n[1] for n in inline]
+
     def clean(part: str, base: int) -> str:
         out, at = [], 0
-        for _kind, a, b, new in inline:
+        for _kind, a, b, new in inline[bisect_left(starts, base) : bisect_left(starts, base + len(part))]:
             a, b = a - base, b - base
-            if a < at or b > len(part) or a < 0:
+            if a < at or b > len(part):
                 continue
             out += [part[at:a], new]
             at = b
@@ -231,7 +280,7 @@ def render(text: str, tree: Tree, block_type: str, depth: int = 1) -> tuple[str,
         more = Tree("".join(out))
         if "tag" in more.kinds():
             return render("".join(out), more, block_type, 0)
-    done = re.sub(r"[ \t]+\n", "\n", "".join(out))
+    done = re.sub(r"(?<![ \t])[ \t]+\n", "\n", "".join(out))
     done = re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\| *(?=\n|$)", "", done.replace("~", " ") if any(k in ("cmd", "env") for k in tree.kinds()) else done)).strip()
     kinds = set(tree.kinds())
     whole = len(lines) == len(tree.nodes) and not done.count("\n") or "heading" in kinds and "\n" not in done
@@ -279,7 +328,8 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(blocks: DataFrame) -> DataFrame:
     kind = F.coalesce("block_type", F.lit("paragraph"))
-    return blocks.where((kind != "code") & F.col("text").rlike(MAY_HOLD)).select("block_id", "text", kind.alias("block_type"))
+    hidden = ~F.col("text").rlike(lookalikes.PLAIN)  # signs that can't be seen may stand inside markup
+    return blocks.where((kind != "code") & (F.col("text").rlike(MAY_HOLD) | hidden)).select("block_id", "text", kind.alias("block_type"))
 
 
 def found(blocks: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from blockloom.llm.arrow import code_points
 from blockloom.llm.letters import LATIN_LOOKALIKES
 
 PAIR_BITS = 21
-CHAR_BITS = 17
+CHARS = 0x110000
 #: Pairs with this share of the corpus keep half of their mutual information.
 HALF = 2e-5
 #: A pair scored below this adds to the improbability of a segment.
@@ -60,7 +60,7 @@ def _plain(codes: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((1 << PAIR_BITS) + (1 << CHAR_BITS), np.int64)
+    table = np.zeros((1 << PAIR_BITS) + CHARS, np.int64)
     for batch in batches:
         codes, offsets = code_points(batch.column(0).to_pylist())
         if len(codes) < 2:
@@ -70,7 +70,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = offsets[1:-1] - 1
         inside[cut[(cut >= 0) & (cut < len(inside))]] = False
         table[: 1 << PAIR_BITS] += np.bincount(_hash(codes[:-1], codes[1:])[inside], minlength=1 << PAIR_BITS)
-        table[1 << PAIR_BITS :] += np.bincount(codes & ((1 << CHAR_BITS) - 1), minlength=1 << CHAR_BITS)
+        table[1 << PAIR_BITS :] += np.bincount(codes, minlength=CHARS)
     at = np.flatnonzero(table)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["bucket", "n"])
 
@@ -89,7 +89,7 @@ class PairScores:
     """Discounted mutual information of adjacent characters, from the counts of the whole corpus."""
 
     def __init__(self, buckets: np.ndarray, counts: np.ndarray) -> None:
-        table = np.zeros((1 << PAIR_BITS) + (1 << CHAR_BITS))
+        table = np.zeros((1 << PAIR_BITS) + CHARS)
         table[buckets] = counts
         self.total = max(1.0, table[1 << PAIR_BITS :].sum())
         self.pair = table[: 1 << PAIR_BITS].astype(np.float32)
@@ -109,7 +109,7 @@ class PairScores:
         """The score of each pair of neighbours."""
         codes = _plain(codes)
         n = self.pair[_hash(codes[:-1], codes[1:])].astype(np.float64)
-        one = self.char[codes & ((1 << CHAR_BITS) - 1)].astype(np.float64)
+        one = self.char[codes].astype(np.float64)
         mutual = np.log2(np.maximum(n, 0.25)) + math.log2(self.total) - np.log2(np.maximum(one[:-1], 0.5)) - np.log2(np.maximum(one[1:], 0.5))
         known = n / (n + HALF * self.total)
         common = np.log2(1 + n / (HALF * self.total))
@@ -144,8 +144,6 @@ def _unmapped(text: str, wrong: str, right: str) -> tuple[str, int] | None:
     try:
         out, lost = raw.decode(right), 0
     except UnicodeDecodeError:
-        if len(raw) < 10:
-            return None
         out = raw.decode(right, "replace")
         lost = out.count("\ufffd")
     if "\x1a" in out:
@@ -242,7 +240,7 @@ class Restorer:
         for k, (a, b) in enumerate(ranges):
             part = text[a:b]
             wide = any(0x2E80 <= ord(c) < 0x1F000 for c in part)
-            if part.isascii() or wide and len(part) < 3:
+            if part.isascii():
                 continue
             for wrong, right in WIDE if wide else NARROW:
                 got = _unmapped(part, wrong, right)
@@ -253,6 +251,8 @@ class Restorer:
                     best = best if best and best[0] > 9 else (9.0, k, new, False)
                     continue
                 left, after = text[a - 1] if a else " ", text[b] if b < len(text) else " "
+                if wide and len(part) < 3 and not (all(c < "\u0250" for c in new) and (left + after).isascii() and (left.isalpha() or after.isalpha())):
+                    continue  # one or two ideographs have many readings; only a Latin letter in a Latin word is none by chance
                 if k not in tried:
                     tried[k] = float(self.trusted(left + part + after).mean())
                 pairs = self.trusted(left + new + after)
@@ -265,8 +265,6 @@ class Restorer:
                     gain += 3.0 if not lost else -1.0  # valid sequences of several bytes are no accident
                 if gain > (best[0] if best else 2.0):
                     best = (gain, k, new, not lost)
-            if best and best[0] > 4 and best[1] == k:
-                break
         if len(self.memo) > 20_000:
             self.memo.clear()
         self.memo[key] = best and best[1:]

@@ -49,7 +49,7 @@ def p6_found(spark, sf):
 
 
 def p6_normalized(spark, sf):
-    return lookalikes.normalize(table(spark, sf, "blocks")).distinct()
+    return lookalikes.normalize(table(spark, sf, "blocks"))
 
 
 def p7_found(spark, sf):

@@ -8,7 +8,7 @@ def normal(t):
     return lookalikes.Normalizer().one(t)
 
 
-@pytest.mark.parametrize(("text", "form"), [("ｆｕｌｌ　２", "full 2"), ("Ko\u0308nig", "König"), ("a\u200bb\u00adc\ufeff", "abc"), ("\u2f8f\u653f \uf995", "行政 年"), ("of\ufb01cer 𝐛𝐨𝐥𝐝", "officer bold"), ("Вaсkground", "Background"), ("semi\u2011final x\u00a0y", "semi-final x y"), ("a\u0323\u0302 a\u0302\u0323", "ậ ậ")])
+@pytest.mark.parametrize(("text", "form"), [("ｆｕｌｌ　２", "full 2"), ("Ko\u0308nig", "König"), ("a\u200bb\u00adc\ufeff", "abc"), ("\u2f8f\u653f \uf995", "行政 秊"), ("of\ufb01cer 𝐛𝐨𝐥𝐝", "officer bold"), ("Вaсkground", "Background"), ("semi\u2011final x\u00a0y", "semi-final x y"), ("a\u0323\u0302 a\u0302\u0323", "ậ ậ")])
 def test_cases(text, form):
     assert normal(text) == (form, True)
 
@@ -28,6 +28,26 @@ def test_lookalike_frames(spark, make_blocks):
     assert lookalikes.found(make_blocks([]), docs).count() == 0
 
 
+def test_letters_of_the_public_table(spark):
+    normal = lookalikes.Normalizer(lookalikes.look_alikes())
+    for text, form in [("ꓮpple", "Apple"), ("Ꭺpple", "Apple"), ("ѡord", "word"), ("ɑpple", "apple"), ("ⅼist", "list"), ("Ⅻ", None), ("ꓮꓰ", None), ("kapı", None)]:
+        assert normal.one(text) == (form or text, form is not None)
+
+
+def test_positions_against_text_by_text(spark):
+    import random
+
+    random.seed(9)
+    signs = "ab zÖé\u0301\u0323\u0308\u0315oAKｆ２\u200d\ufe0f👩🔧\u00ad\u200b\u00a0АаеоⅼꓮΩλ年\uf995，。-\u2011ﬁ𝐛\n1"
+    texts = ["".join(random.choices(signs, k=random.randint(0, 12))) for _ in range(3000)] + ["e\u0301" * 3000, "ｘ" * 20000, None, "", "plain"]
+    normal = lookalikes.Normalizer(lookalikes.look_alikes())
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key int, value string")
+    want = {i: normal.one(t) if t else (t, False) for i, t in enumerate(texts)}
+    assert {r.key for r in lookalikes.cases(rows).distinct().collect()} == {i for i, w in want.items() if w[1]}
+    got = {r.key: r.value for r in lookalikes.rebuilt(rows.where("value <> ''")).collect()}
+    assert [(texts[i], got.get(i, ""), w[0]) for i, w in want.items() if texts[i] and got.get(i, "") != w[0]] == []
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "clean"),
     [
@@ -48,6 +68,19 @@ def test_no_markup(text):
     assert not markup.Tree(text).nodes
 
 
+@pytest.mark.parametrize("part", ["<!--", "\\(", "\\[", "![", "{|\n", "\\begin{a}", "$\\a", "== x    ", "<b ", " ", "- x\n<b>y</b>\n"])
+def test_time_grows_with_the_text(part):
+    import time
+
+    text, start = part * (80_000 // len(part)), time.perf_counter()
+    markup.render(text, markup.Tree(text), "paragraph")
+    assert time.perf_counter() - start < 3
+
+
+def test_markup_under_invisible_signs(make_blocks):
+    assert markup.found(make_blocks([{"block_id": "a", "block_type": "paragraph", "text": "_\u200b_bold text_\u200b_"}])).count() == 1
+
+
 def test_markup_frames(spark, make_blocks):
     rows = [{"block_id": "a", "block_type": "code", "text": "<b>"}, {"block_id": "b", "block_type": None, "text": "<b>x</b>"}, {"block_id": "b", "block_type": None, "text": "<b>x</b>"}, {"block_id": "c"}, {"block_id": "d", "block_type": "paragraph", "text": "<" * 50_000}]
     assert [r.block_id for r in markup.found(make_blocks(rows)).collect()] == ["b"]
