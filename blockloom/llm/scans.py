@@ -1,13 +1,14 @@
 """Noise in text from scanned pages: cut words, misread signs, running lines and page numbers (problem 3).
 
-Method.  (1) Over every block of the corpus, words and the signs between two neighbours are counted and skip-gram vectors
-are learned: the vector of a word sums, over a window of two on either side, fixed random vectors of its neighbours,
-weighted down by how frequent they are (the count form of skip-gram training: no order of rows matters).  (2) A rare word
-is linked to a frequent one that differs from it by plausible glyph edits; a rare ideograph between neighbours is linked
-to the sign that is frequent between the same neighbours, and such links count only where several different
-surroundings support them.  (3) Of several candidates the one that fits the context's vectors is taken; the links between signs, once learned, are
-tried on every sign they know.  (4) Running
-lines (the document's title or its beginning) and page numbers are removed, cut words joined, and lines reflowed.
+Method.  (1) Over every block of the corpus, words and the signs between two neighbours are counted; then skip-gram
+vectors are learned: the vector of a word sums, over a window of two on either side, fixed random vectors of its
+neighbours, weighted down by how frequent they are in the corpus, in whole numbers (the count form of skip-gram training:
+neither the order of rows nor their partitions matter).  (2) A rare word is linked to a frequent one that differs from it
+by plausible glyph edits, if the context of the rare word isn't far from the vector of the frequent one; of several the
+nearest is taken.  A rare ideograph between neighbours is linked to the sign that is frequent between the same
+neighbours, and such links count only where several different surroundings support them.  (3) The links between signs,
+once learned, are tried on every sign they know.  (4) Running lines (the document's title or its beginning) and page
+numbers are removed, cut words joined, and lines reflowed.
 
 The tables of counts and weights have a fixed number of hashed buckets, so they are bounded whatever the corpus:
 WORD_ROWS x 2**WORD_BITS word counts, 2**TRI_BITS counts of three signs, VECTORS x DIM weights.  Expected signs are kept by the
@@ -27,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +37,18 @@ from blockloom.llm.lookalikes import Normalizer
 from blockloom.tables import ensure_checkpoint_dir
 
 WORD_BITS, WORD_ROWS, TRI_BITS = 21, 3, 22
-VECTORS, DIM, WINDOW = 1 << 15, 16, 2
+VECTORS, DIM, WINDOW = 1 << 15, 32, 2
 #: A word or three signs are rare beside others that are so many times as frequent.
 RATIO = 12
 #: An expected sign must stand so many times between its neighbours; fewer never count as a reading.
 LEAST_GAP = 3
-#: A word with this share of all words is no misread one.
+#: A word known so many times is a known one; others say nothing about their neighbours.
+LEAST_WORD = 5
+#: The method links rare words to frequent ones: a word with this share of all words isn't rare.  Without this border the
+#: word "an" would count as "on" misread in 94 blocks of the data at scale 0.1.
 COMMON = 3e-4
+#: How near the vector of a frequent word must be to the context of the rare one that is taken for it misread.
+NEAR = -0.2
 #: Wrong sign(s), as recognised, and the right one(s). Fixed values.
 GLYPHS = (
     ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "é"), ("8", "B"), ("c", "e"), ("cl", "d"), ("rn", "m"), ("vv", "w"), ("b", "h"), ("f", "t"), ("ii", "u"), ("ii", "ü"), ("h", "li"),
@@ -56,7 +63,8 @@ _NUMBER = r"[0-9lIOS]{0,3}[0-9][0-9lIOS]{0,3}"
 _PAGE = re.compile(rf"^\s*(?:{_NUMBER}|[pPsS]\. ?{_NUMBER}|[-–—] ?{_NUMBER} ?[-–—]|\[ ?{_NUMBER} ?\]|\( ?{_NUMBER} ?\)|{_NUMBER} ?/ ?{_NUMBER}|[·•] ?{_NUMBER} ?[·•]|{_NUMBER}\.|[第弟] ?{_NUMBER} ?[页頁]|(?:[Pp]age|[Ss]eite) {_NUMBER})\s*$")
 _DIGIT = re.compile("[0-9]")
 _HAN = re.compile(r"[㐀-鿿]")
-_PARTS = (("word", WORD_ROWS << WORD_BITS), ("tri", 1 << TRI_BITS), ("vec", VECTORS * DIM))
+#: Different words or contexts a task holds before it gives its counts away; the unit of the weights.
+HELD, WHOLE = 500_000, 1 << 20
 
 
 def _word_id(word: str) -> int:
@@ -71,7 +79,7 @@ def _rows_of(ids: np.ndarray) -> np.ndarray:
 
 @cache
 def _signs() -> np.ndarray:
-    return np.random.default_rng(7).choice(np.array([-1.0, 1.0], np.float32), (VECTORS, DIM))
+    return np.random.default_rng(7).choice(np.array([-1.0, 1.0]), (VECTORS, DIM))
 
 
 def _mix(*parts: np.ndarray) -> np.ndarray:
@@ -103,73 +111,121 @@ def _gaps(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left.astype(np.uint64) << np.uint64(21)) | right.astype(np.uint64)
 
 
+def _rows(kind: int, bucket: np.ndarray, sign: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(bucket.astype(np.int64)), pa.array(sign.astype(np.int32)), pa.array(n.astype(np.int64))], names=["kind", "bucket", "sign", "n"])
+
+
+def _words(texts: list[str]) -> list[str]:
+    """The words of texts with Latin letters; between texts as many '' as the window has words."""
+    out: list[str] = []
+    for t in texts:
+        if _LATIN.search(t):
+            out += [w for w in _WORD.findall(t) if not w.isdecimal()]
+            out += [""] * WINDOW
+    return out
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of one task: kind, bucket, sign, n."""
+    """Partial counts of one task: kind, bucket, sign, n.  What it has counted goes out whenever HELD different things are held."""
     words: Counter = Counter()
-    tri, vec, gap = np.zeros(1 << TRI_BITS, np.int64), np.zeros((DIM, VECTORS)), {}
-    ids: dict[str, int] = {}
+    table, tri, gap = np.zeros(WORD_ROWS << WORD_BITS, np.int64), np.zeros(1 << TRI_BITS, np.int64), {}
+
+    def add_words() -> None:
+        words.pop("", None)
+        hashed = _rows_of(np.fromiter((_word_id(w) for w in words), np.uint64, len(words)))
+        np.add.at(table, hashed.ravel(), np.tile(np.fromiter(words.values(), np.int64, len(words)), WORD_ROWS))
+        words.clear()
+
+    def gaps() -> pa.RecordBatch:
+        keys = np.fromiter(gap, np.int64, len(gap))
+        out = _rows(3, keys >> 21, keys & ((1 << 21) - 1), np.fromiter(gap.values(), np.int64, len(gap)))
+        gap.clear()
+        return out
+
     for batch in batches:
         texts = [t for t in batch.column(0).to_pylist() if t]
-        tokens: list[str] = []
-        for t in texts:
-            if _LATIN.search(t):
-                tokens += [w for w in _WORD.findall(t) if not w.isdecimal()]
-                tokens.append("")
-        words.update(tokens)
-        if len(ids) > 500_000:
-            ids.clear()
-        for w in set(tokens):
-            if w not in ids:
-                ids[w] = _word_id(w) % VECTORS if w else -1
-        at = np.fromiter((ids[w] for w in tokens), np.int64, len(tokens))
-        for off in range(1, WINDOW + 1):
-            a, b = at[:-off], at[off:]
-            ok = (a >= 0) & (b >= 0)
-            a, b = a[ok], b[ok]
-            for one, other in ((a, b), (b, a)):
-                weight = 1.0 / np.sqrt(1.0 + np.bincount(other, minlength=VECTORS))[other]
-                for k in range(DIM):
-                    vec[k] += np.bincount(one, _signs()[other, k] * weight, VECTORS)
-        codes = _codes("\x00".join(_squeezed(t) for t in texts if _HAN.search(t)))
+        words.update(_words(texts))
+        if len(words) > HELD:
+            add_words()
+        codes = _codes("\x00".join(["", *(_squeezed(t) for t in texts if _HAN.search(t)), ""]))
         if len(codes) > 2:
             mid, bucket = _triples(codes)
             tri += np.bincount(bucket.astype(np.int64), minlength=1 << TRI_BITS)
             key = (_gaps(codes[mid - 1], codes[mid + 1]) << np.uint64(21)) | codes[mid]
             for k, n in zip(*(x.tolist() for x in np.unique(key, return_counts=True))):
                 gap[k] = gap.get(k, 0) + n
-    words.pop("", None)
-    hashed = _rows_of(np.fromiter((_word_id(w) for w in words), np.uint64, len(words)))
-    n = np.fromiter(words.values(), np.float64, len(words))
-    table = np.bincount(hashed.ravel(), np.tile(n, WORD_ROWS), WORD_ROWS << WORD_BITS)
+        if len(gap) > HELD:
+            yield gaps()
+    add_words()
+    for kind, full in ((0, table), (1, tri)):
+        at = np.flatnonzero(full)
+        yield _rows(kind, at, np.zeros(len(at)), full[at])
+    yield gaps()
+
+
+def _embed(shared):
+    """Partial sums of the vectors of one task: whole numbers, so their sums don't depend on the order."""
 
-    def rows(kind: int, bucket: np.ndarray, sign: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(bucket.astype(np.int64)), pa.array(sign.astype(np.int32)), pa.array(n.astype(np.float64))], names=["kind", "bucket", "sign", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, vec, known = Reader((shared.value, None, None, None)), np.zeros((VECTORS, DIM)), {}
+
+        def add(one: np.ndarray, other: np.ndarray, w: np.ndarray) -> None:
+            order = np.argsort(one, kind="stable")
+            for start in range(0, len(order), 1 << 17):  # bounds what is held at once
+                part = order[start : start + (1 << 17)]
+                whose = one[part]
+                first = np.flatnonzero(np.diff(whose, prepend=-1))
+                vec[whose[first]] += np.add.reduceat(_signs()[other[part]] * w[part, None], first)
 
-    for kind, full in ((0, table), (1, tri), (2, vec.T.ravel())):
+        for batch in batches:
+            tokens = _words([t for t in batch.column(0).to_pylist() if t])
+            if len(known) > HELD:
+                known.clear()
+            for w in set(tokens):
+                if w not in known:
+                    known[w] = (_word_id(w) % VECTORS, round(WHOLE * weight(reader.count(w)))) if w else (-1, 0)
+            both = np.array([known[w] for w in tokens], np.int64).reshape(-1, 2)
+            at, heavy = both[:, 0], both[:, 1]
+            for off in range(1, WINDOW + 1):
+                ok = (at[:-off] >= 0) & (at[off:] >= 0)
+                a, b, wa, wb = at[:-off][ok], at[off:][ok], heavy[:-off][ok], heavy[off:][ok]
+                add(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([wb, wa]))
+        full = vec.ravel()
         at = np.flatnonzero(full)
-        yield rows(kind, at, np.zeros(len(at)), full[at])
-    keys = np.fromiter(gap, np.int64, len(gap))
-    yield rows(3, keys >> 21, keys & ((1 << 21) - 1), np.fromiter(gap.values(), np.float64, len(gap)))
+        yield _rows(2, at, np.zeros(len(at)), full[at])
+
+    return run
+
+
+def weight(count: float) -> float:
+    """What a neighbour that stands so often in the corpus adds to a vector."""
+    return 0.0 if count < LEAST_WORD else 1.0 / (1.0 + count) ** 0.5
+
+
+def _table(counts, kind: int, size: int, of=np.float32) -> np.ndarray:
+    k, bucket, n = (counts[c].to_numpy() for c in ("kind", "bucket", "n"))
+    out = np.zeros(size, of)
+    out[bucket[k == kind]] = n[k == kind]
+    return out
 
 
 def learn(blocks: DataFrame) -> tuple:
-    """The broadcast tables, learned over all blocks."""
-    counts = blocks.select("text").mapInArrow(_learn, "kind int, bucket bigint, sign int, n double").groupBy("kind", "bucket", "sign").agg(F.sum("n").alias("n"))
+    """The broadcast tables, learned over all blocks: counts first, then the vectors, weighted by the counts."""
+    schema, context = "kind int, bucket bigint, sign int, n bigint", blocks.sparkSession.sparkContext
+    counts = blocks.select("text").mapInArrow(_learn, schema).groupBy("kind", "bucket", "sign").agg(F.sum("n").alias("n"))
     best = F.max_by("sign", F.struct("n", "sign")).alias("sign")
     top = counts.groupBy("kind", "bucket").agg(F.sum("n").alias("all"), F.max("n").alias("n"), best)
-    got = top.select("kind", "bucket", "sign", F.when(F.col("kind") == 3, F.col("n")).otherwise(F.col("all")).cast("float").alias("n")).where((F.col("kind") != 3) | (F.col("n") >= LEAST_GAP)).toArrow()
-    kind, bucket, sign, n = (got[c].to_numpy() for c in ("kind", "bucket", "sign", "n"))
-    out = []
-    for k, (_, size) in enumerate(_PARTS):
-        table = np.zeros(size, np.float32)
-        table[bucket[kind == k]] = n[kind == k]
-        out.append(table)
-    order = np.argsort(bucket[kind == 3])
-    expected = bucket[kind == 3][order].astype(np.uint64), sign[kind == 3][order].astype(np.uint32)
-    vec = out[2].reshape(VECTORS, DIM)
+    got = top.select("kind", "bucket", "sign", F.when(F.col("kind") == 3, F.col("n")).otherwise(F.col("all")).alias("n")).where((F.col("kind") != 3) | (F.col("n") >= LEAST_GAP)).toArrow()
+    words, tri = _table(got, 0, WORD_ROWS << WORD_BITS), _table(got, 1, 1 << TRI_BITS)
+    gaps = got.filter(pc.equal(got["kind"], 3)).sort_by("bucket")
+    expected = gaps["bucket"].to_numpy().astype(np.uint64), gaps["sign"].to_numpy().astype(np.uint32)
+    shared = context.broadcast(words)
+    sums = blocks.select("text").mapInArrow(_embed(shared), schema).groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    vec = _table(sums, 2, VECTORS * DIM, np.float64).reshape(VECTORS, DIM)
     vec -= vec.mean(0)
     vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-6)
-    return out[0], out[1], expected, vec
+    return words, tri, expected, vec.astype(np.float32)
 
 
 class Reader:
@@ -203,11 +259,11 @@ class Reader:
         """Frequent words from which a rare one comes by up to three glyph edits of one kind, or one of each of two."""
         if word in self.memo:
             return self.memo[word]
-        least, out = max(5.0, RATIO * self.count(word)), []
+        least, out = max(LEAST_WORD, RATIO * self.count(word)), []
         one = [new for wrong, right in GLYPHS if wrong in word for new in self.edits(word, wrong, right)]
         out = [w for w in dict.fromkeys(one) if not _DIGIT.search(w) and self.count(w) >= least]
         if not out and len(word) > 3:
-            two = (new for w in one for wrong, right in GLYPHS[:15] if wrong in w for new in self.edits(w, wrong, right))
+            two = (new for w in one for wrong, right in GLYPHS if wrong in w for new in self.edits(w, wrong, right))
             out = [w for w in dict.fromkeys(two) if not _DIGIT.search(w) and self.count(w) >= least]
         if len(self.memo) > 200_000:
             self.memo.clear()
@@ -223,20 +279,21 @@ class Reader:
     def fits(self, words: list[str], i: int, candidate: str) -> float:
         """How well a candidate fits the words around it, by the vectors."""
         near = [w for j in range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1)) if j != i and (w := words[j])]
-        context = sum((_signs()[_word_id(w) % VECTORS] / (1.0 + self.count(w)) ** 0.5 for w in near), np.zeros(DIM, np.float32))
-        return float(self.vec[_word_id(candidate) % VECTORS] @ context) / max(1e-6, float(np.linalg.norm(context)))
+        context = sum((_signs()[_word_id(w) % VECTORS] * weight(self.count(w)) for w in near), np.zeros(DIM, np.float32))
+        length = float(np.linalg.norm(context))
+        return float(self.vec[_word_id(candidate) % VECTORS] @ context) / length if length else 1.0
 
     def misread_words(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, right word) of the misread words of continuous text."""
         found = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
         words, out = [w for *_, w in found], []
         for i, (a, b, w) in enumerate(found):
-            if len(w) < 2 or not _LATIN.search(w) or _HAN.search(w) or w.isupper() and not any(c.isdigit() for c in w):
+            if len(w) < 2 or not _LATIN.search(w) or _HAN.search(w):
                 continue
             if self.count(w) >= self.common:
                 continue
-            some = self.candidates(w)
-            if not some:
+            fit, best = max(((self.fits(words, i, c), self.count(c), c) for c in self.candidates(w)), default=(0.0, 0.0, ""))[::2]
+            if not best:
                 parts = [p for p in re.split(r"['’-]", w) if len(p) > 2]
                 fixed = {p: c[0] for p in parts if len(parts) > 1 and (c := self.candidates(p))}
                 if fixed and all(self.count(p) >= 5 or p in fixed for p in parts):
@@ -245,7 +302,8 @@ class Reader:
                         new = new.replace(p, c)
                     out.append((a, b, new))
                 continue
-            out.append((a, b, max(some, key=lambda c: (self.fits(words, i, c), self.count(c))) if len(some) > 1 else some[0]))
+            if fit >= NEAR:
+                out.append((a, b, best))
         return out
 
     def misread_signs(self, text: str) -> list[tuple[int, str, str, int, int, float]]:

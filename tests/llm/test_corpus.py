@@ -131,6 +131,24 @@ def test_scans(spark, make_blocks):
     assert scans.found(make_blocks([]), docs).count() == 0
 
 
+def test_tables_are_the_same_for_any_partitions(make_blocks):
+    blocks = make_blocks([{"document_id": "d", "block_id": f"b{i}", "block_type": "paragraph", "text": BODY[i % len(BODY)] + f" the{i % 7} word"} for i in range(300)])
+    few, many = (scans.learn(blocks.repartition(n)) for n in (3, 17))
+    for a, b in zip((few[0], few[1], *few[2], few[3]), (many[0], many[1], *many[2], many[3])):
+        assert np.array_equal(a, b)
+
+
+def test_context_decides():
+    reader = scans.Reader((np.zeros(scans.WORD_ROWS << scans.WORD_BITS, np.float32), np.zeros(1, np.float32), None, np.zeros((scans.VECTORS, scans.DIM), np.float32)))
+    counts = {"clean": 200.0, "dean": 1.0, "water": 500.0, "the": 900.0, "green": 300.0}
+    reader.count = lambda w: counts.get(w, 0.0)
+    reader.memo["dean"] = ["clean"]
+    near = scans._signs()[scans._word_id("water") % scans.VECTORS]
+    for sign, found in ((1, 1), (-1, 0)):
+        reader.vec[scans._word_id("clean") % scans.VECTORS] = sign * near / np.linalg.norm(near)
+        assert len(reader.misread_words("water dean")) == found
+
+
 def test_running_line_with_a_shifted_beginning():
     tables = (np.zeros(scans.WORD_ROWS << scans.WORD_BITS, np.float32), np.zeros(1, np.float32), None, None)
     reader = scans.Reader(tables)
