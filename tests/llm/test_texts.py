@@ -114,6 +114,12 @@ def test_repeats_as_common_on_other_sites(spark, make_blocks):
     assert report == {"u": (10, 100), "v": (10, 100), "w": (4, 20)}
 
 
+def test_repeats_as_common_where_they_dont_count(spark, make_blocks):
+    # Lost by the method: 8 of 100 pass the rule, but just as many stand on a site below it.
+    rows = [{"document_id": f"{s}{d}", "block_id": f"{s}{d}", "site": s, "block_type": "paragraph", "text": f"only {s} " + "".join(chr(97 + int(c)) for c in f"{d:03}") + ("\nshare this page" if d < k else "")} for s, n, k in (("u", 100, 8), ("v", 101, 8)) for d in range(n)]
+    assert repeats.found(make_blocks(rows)).count() == 0
+
+
 def test_boilerplate(spark, make_blocks):
     sites = spark.createDataFrame([("s.example", "Acme Water")], "site string, org_name string")
     docs, rows = [], []
