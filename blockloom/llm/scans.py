@@ -234,10 +234,12 @@ class Reader:
     def __init__(self, tables: tuple) -> None:
         self.words, self.tri, self.expected, self.vec = tables
         self.common = max(100.0, COMMON * float(self.words[: 1 << WORD_BITS].sum()))
+        self.often = (self.words[: 1 << WORD_BITS] >= LEAST_WORD).tobytes()
         self.normal = Normalizer()
         self.memo: dict[str, list[str]] = {}
         self.counts: dict[str, float] = {}
         self.folded: dict[str, str] = {}
+        self.vectors: dict[str, np.ndarray] = {}
 
     def count(self, word: str) -> float:
         known = self.counts.get(word)
@@ -255,16 +257,20 @@ class Reader:
         self.counts[word] = least
         return least
 
+    def known(self, word: str, least: float) -> bool:
+        """Whether a word without digits stands so often; its first bucket rules most words out."""
+        return self.often[_word_id(word) & ((1 << WORD_BITS) - 1)] and self.count(word) >= least and not _DIGIT.search(word)
+
     def candidates(self, word: str) -> list[str]:
         """Frequent words from which a rare one comes by up to three glyph edits of one kind, or one of each of two."""
         if word in self.memo:
             return self.memo[word]
         least, out = max(LEAST_WORD, RATIO * self.count(word)), []
         one = [new for wrong, right in GLYPHS if wrong in word for new in self.edits(word, wrong, right)]
-        out = [w for w in dict.fromkeys(one) if not _DIGIT.search(w) and self.count(w) >= least]
+        out = [w for w in dict.fromkeys(one) if self.known(w, least)]
         if not out and len(word) > 3:
             two = (new for w in one for wrong, right in GLYPHS if wrong in w for new in self.edits(w, wrong, right))
-            out = [w for w in dict.fromkeys(two) if not _DIGIT.search(w) and self.count(w) >= least]
+            out = [w for w in dict.fromkeys(two) if self.known(w, least)]
         if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[word] = out
@@ -276,12 +282,20 @@ class Reader:
         out = [word[:i] + right + word[i + len(wrong) :] for i in at]
         return out + [word.replace(wrong, right)] * (len(at) > 1)
 
-    def fits(self, words: list[str], i: int, candidate: str) -> float:
-        """How well a candidate fits the words around it, by the vectors."""
-        near = [w for j in range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1)) if j != i and (w := words[j])]
-        context = sum((_signs()[_word_id(w) % VECTORS] * weight(self.count(w)) for w in near), np.zeros(DIM, np.float32))
+    def fits(self, words: list[str], i: int, candidates: list[str]) -> list[float]:
+        """How well each candidate fits the words around it, by the vectors; words without known neighbours fit anywhere."""
+        context = sum(self.heavy(w) for w in (*words[max(0, i - WINDOW) : i], *words[i + 1 : i + WINDOW + 1])) + np.zeros(DIM)
         length = float(np.linalg.norm(context))
-        return float(self.vec[_word_id(candidate) % VECTORS] @ context) / length if length else 1.0
+        return [float(self.vec[_word_id(c) % VECTORS] @ context) / length if length else 1.0 for c in candidates]
+
+    def heavy(self, word: str) -> np.ndarray:
+        """What a word adds to its neighbours' vectors."""
+        got = self.vectors.get(word)
+        if got is None:
+            if len(self.vectors) > 50_000:
+                self.vectors.clear()
+            got = self.vectors[word] = _signs()[_word_id(word) % VECTORS] * weight(self.count(word))
+        return got
 
     def misread_words(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, right word) of the misread words of continuous text."""
@@ -292,8 +306,8 @@ class Reader:
                 continue
             if self.count(w) >= self.common:
                 continue
-            fit, best = max(((self.fits(words, i, c), self.count(c), c) for c in self.candidates(w)), default=(0.0, 0.0, ""))[::2]
-            if not best:
+            some = self.candidates(w)
+            if not some:
                 parts = [p for p in re.split(r"['’-]", w) if len(p) > 2]
                 fixed = {p: c[0] for p in parts if len(parts) > 1 and (c := self.candidates(p))}
                 if fixed and all(self.count(p) >= 5 or p in fixed for p in parts):
@@ -302,6 +316,7 @@ class Reader:
                         new = new.replace(p, c)
                     out.append((a, b, new))
                 continue
+            fit, _, best = max(zip(self.fits(words, i, some), map(self.count, some), some))
             if fit >= NEAR:
                 out.append((a, b, best))
         return out
