@@ -37,6 +37,7 @@ def flag_warnings(blocks: DataFrame) -> DataFrame:
     """(document_id, warning_type, message, page_number, block_id, phase, pos, k): page flags once a page, others once a block and flag."""
     rows = _flags(blocks)
     page = F.col("flag").isin(*PAGE_FLAGS)
+    # The texts of the messages are fixed values.
     rows = rows.select(
         "document_id", F.lit("warning").alias("level"), F.col("flag").alias("warning_type"), F.col("page_start").alias("page_number"),
         F.when(~page, F.col("block_id")).alias("block_id"),
@@ -52,15 +53,21 @@ def first_warnings(warnings: DataFrame) -> DataFrame:
     return warnings.withColumn("__n", F.row_number().over(key)).where("__n = 1").drop("__n")
 
 
-def summaries(blocks: DataFrame, warnings: DataFrame | None = None, raw_counts: DataFrame | None = None) -> DataFrame:
-    """One row a document: counts, highest page, candidates for OCR, excluded blocks, warnings."""
+def _every(documents: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """rows, and one for each document that has none."""
+    return rows if documents is None else documents.select("document_id").distinct().join(rows, "document_id", "left")
+
+
+def summaries(blocks: DataFrame, warnings: DataFrame | None = None, raw_counts: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """One row a document, also for those without blocks if the documents are given: counts, highest page, candidates for
+    OCR, excluded blocks, warnings."""
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     out = blocks.groupBy("document_id").agg(
         F.max("page_start").alias("page_count"), F.count("*").alias("block_count"), count(F.col("block_type") == "table").alias("table_count"), count(F.col("block_type") == "image").alias("image_count"),
         count(F.col("ocr_decision").isin(*OCR_CANDIDATES)).alias("ocr_candidate_count"), count(F.col("excluded_from_retrieval")).alias("excluded_count"),
     )
     warned = (flag_warnings(blocks) if warnings is None else first_warnings(warnings)).groupBy("document_id").agg(F.count("*").alias("warning_count"))
-    out = out.join(warned, "document_id", "left").withColumn("warning_count", F.coalesce("warning_count", F.lit(0)))
+    out = _every(documents, out).join(warned, "document_id", "left").fillna(0, ["warning_count", "block_count", "table_count", "image_count", "ocr_candidate_count", "excluded_count"])
     return out if raw_counts is None else out.join(raw_counts, "document_id", "left")
 
 
@@ -75,8 +82,9 @@ def block_reviews(blocks: DataFrame) -> DataFrame:
     )
 
 
-def evaluations(blocks: DataFrame, warnings: DataFrame | None = None, additional: DataFrame | None = None) -> DataFrame:
-    """One row a document: failed with errors, review_required with reviews or warnings, else finalized."""
+def evaluations(blocks: DataFrame, warnings: DataFrame | None = None, additional: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """One row a document, also for those without blocks if the documents are given: failed with errors, review_required
+    with reviews or warnings, else finalized."""
     warned = flag_warnings(blocks) if warnings is None else first_warnings(warnings)
     levels = warned.groupBy("document_id").agg(F.count_if(F.col("level") == "error").alias("error_count"), F.count_if(F.col("level") == "warning").alias("warning_count"))
     reviews = block_reviews(blocks).select("document_id", "review_id")
@@ -86,7 +94,7 @@ def evaluations(blocks: DataFrame, warnings: DataFrame | None = None, additional
     asked = reviews.groupBy("document_id").agg(F.count("*").alias("review_count"))
     types = counts_by_type(blocks).groupBy("document_id").agg(F.sum("n").alias("block_count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("block_type", "n")))).alias("blocks_by_type"))
     flags = flag_counts(blocks).groupBy("document_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("flag", "n")))).alias("quality_flags"))
-    out = types.join(flags, "document_id", "left").join(levels, "document_id", "left").join(asked, "document_id", "left").fillna(0, ["error_count", "warning_count", "review_count"])
+    out = _every(documents, types).join(flags, "document_id", "left").join(levels, "document_id", "left").join(asked, "document_id", "left").fillna(0, ["block_count", "error_count", "warning_count", "review_count"])
     status = F.when(F.col("error_count") > 0, "failed").when((F.col("review_count") > 0) | (F.col("warning_count") > 0), "review_required").otherwise("finalized")
     return out.withColumn("status", status)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.operators.validate import review_gate
+
 #: Fixed values, strongest first.
 SOURCES = ("manual_revision", "structure_review", "ocr_review", "base_run")
 
@@ -51,5 +53,24 @@ def missing(ids: DataFrame, blocks: DataFrame) -> DataFrame:
     return ids.join(blocks.select("block_id"), "block_id", "left_anti")
 
 
-def finalization_id(ids: Column) -> Column:
-    return F.concat(F.lit("final_"), F.substring(F.sha2(F.array_join(F.sort_array(ids), "|"), 256), 1, 12))
+def types_of_pairs(base: DataFrame, effective_blocks: DataFrame) -> DataFrame:
+    """(document_id, block_types): the sorted types of all pairs of base and effective blocks, that of the effective one first."""
+    pick = lambda df, name: df.select("document_id", "block_id", F.coalesce("block_type", F.lit("")).alias(name))
+    pairs = pick(base, "old").join(pick(effective_blocks, "new"), ["document_id", "block_id"], "full")
+    return pairs.groupBy("document_id").agg(F.sort_array(F.collect_set(F.coalesce("new", "old"))).alias("block_types"))
+
+
+def load_effective(revisions: DataFrame, documents: DataFrame, evaluations: DataFrame, require_complete: bool = True) -> DataFrame:
+    """(document_id, revision_id, source, problem): the effective revision of each document and what keeps it from being
+    loaded, null if nothing does.
+
+    documents: revision_id, document_id; evaluations: revision_id, document_id, status, error_count, item_statuses."""
+    rows = effective(revisions).join(documents.select("revision_id", F.col("document_id").alias("__doc")), "revision_id", "left")
+    judged = evaluations.select("revision_id", F.col("document_id").alias("__eval"), "status", "error_count", "item_statuses", F.lit(True).alias("__judged"))
+    rows = review_gate(rows.join(judged, "revision_id", "left"))
+    problem = (
+        F.when(F.col("__doc").isNull(), "document is missing").when(F.col("__doc") != F.col("document_id"), "revision is of another document")
+        .when(F.col("__judged").isNull(), "evaluation is missing").when(~F.col("__eval").eqNullSafe(F.col("__doc")), "evaluation names another document")
+        .when(F.lit(require_complete) & ~F.col("passes"), "review is not complete")
+    )
+    return rows.select("document_id", "revision_id", "source", problem.alias("problem"))

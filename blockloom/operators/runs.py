@@ -34,6 +34,53 @@ def unfinished(files: DataFrame, done: DataFrame) -> DataFrame:
     return files.join(done.select("path").distinct(), "path", "left_anti").withColumn("status", F.lit("cancelled"))
 
 
+def with_jobs(states: DataFrame, files: DataFrame) -> DataFrame:
+    """Review states (run_dir, document_id, ...) with the job and the name of the file of their run, whatever the case of the folder."""
+    key = lambda c: F.lower(F.replace(c, F.lit("ß"), F.lit("ss")))
+    jobs = files.where("run_dir <> ''").groupBy(key(F.col("run_dir")).alias("__run")).agg(F.max("job_id").alias("web_job_id"), F.max("filename").alias("__name"))
+    rows = states.withColumn("__run", key(F.col("run_dir"))).join(jobs, "__run", "left")
+    return rows.withColumn("web_job_id", F.coalesce("web_job_id", F.lit(""))).withColumn("source_filename", F.coalesce(F.when(F.col("__name") != "", F.col("__name")), F.col("document_id"))).drop("__run", "__name")
+
+
+#: States of a job that hasn't ended.
+OPEN = ("queued", "running", "stopping")
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """(job_id, status) from a log of events (job_id, seq, event): submitted, started, cancel_asked, cancelled, finished,
+    failed, restarted.  A job still open at a restart was interrupted; what is asked of a job that has ended changes nothing."""
+    is_ = lambda *names: F.col("event").isin(*names)
+    last = lambda *names: F.max(F.when(is_(*names), F.col("seq")))
+    rows = events.groupBy("job_id").agg(
+        F.max_by("event", F.when(is_("cancelled", "finished", "failed"), F.col("seq"))).alias("end"), last("cancelled", "finished", "failed").alias("ended"), last("restarted").alias("restarted"), last("started").alias("started"), last("cancel_asked").alias("asked"),
+        F.min("seq").alias("submitted"),
+    )
+    status = (
+        F.when(F.col("ended").isNotNull() & (F.col("ended") < F.coalesce("restarted", F.lit(2**62))), F.when(F.col("end") == "finished", "completed").otherwise(F.col("end")))
+        .when(F.col("restarted") > F.col("submitted"), "interrupted").when(F.col("asked").isNotNull() & F.col("started").isNull(), "cancelled")
+        .when(F.col("asked").isNotNull(), "stopping").when(F.col("started").isNotNull(), "running").otherwise("queued")
+    )
+    return rows.select("job_id", status.alias("status"))
+
+
+def retry(files: DataFrame, job_id: str, new_job_id: str) -> DataFrame:
+    """The failed files of a job, queued as a new one."""
+    return files.where((F.col("job_id") == job_id) & (F.col("status") == "failed")).select(F.lit(new_job_id).alias("job_id"), "path", F.lit("queued").alias("status"))
+
+
+def events(results: DataFrame) -> DataFrame:
+    """(job_id, type, path, status): progress of jobs from files (job_id, path, status): the batch begins, each file begins
+    and, if it is done, ends; the batch ends with its last file."""
+    of = lambda rows, kind, path, status: rows.select("job_id", F.lit(kind).alias("type"), path.alias("path"), status.alias("status"))
+    none = F.lit(None).cast("string")
+    jobs = results.groupBy("job_id").agg(F.min(F.coalesce(F.col("status").isin(*DONE), F.lit(False))).alias("all"), F.max(F.col("status") == "cancelled").alias("stopped"))
+    begun, done = results.where("status not in ('queued', 'cancelled')"), results.where(F.col("status").isin(*DONE))
+    return (
+        of(jobs, "batch_started", none, none).unionAll(of(begun, "file_started", F.col("path"), none)).unionAll(of(done, "file_completed", F.col("path"), F.col("status")))
+        .unionAll(of(jobs.where("all"), "batch_finished", none, F.when(F.col("stopped"), "cancelled").otherwise("completed")))
+    )
+
+
 def execution_state(results: DataFrame) -> DataFrame:
     """(run_id, succeeded, failed, status) of a bulk execution from results (run_id, error_type)."""
     out = results.groupBy("run_id").agg(F.count_if(F.col("error_type").isNull()).alias("succeeded"), F.count_if(F.col("error_type").isNotNull()).alias("failed"))

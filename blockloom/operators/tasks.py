@@ -13,7 +13,7 @@ from blockloom.operators import review
 
 #: What can be chosen before and after OCR ran.
 BEFORE = ("run_ocr", "approve_native", "exclude_page", "reject_document")
-AFTER = ("approve_native", "approve_ocr", "merge_results", "retry_ocr", "exclude_page", "reject_document")
+AFTER = review.AFTER_OCR
 RESULT = "candidate_id string, result string, error_type string"
 
 
@@ -45,6 +45,25 @@ def execute(candidates: DataFrame, make_provider: Callable[[], Provider], concur
     return candidates.select("candidate_id", "preview_path").repartition(concurrency).mapInPandas(run, RESULT)
 
 
+def render(candidates: DataFrame, make_renderer: Callable[[], Callable[[str, int, int], str]], dpi: int = 144) -> DataFrame:
+    """(candidate_id, preview_path, error_type): the picture of each candidate's page (candidate_id, source_path, page_number).
+
+    No renderer is included: the caller gives one per task, called with path, page and dpi (scale is dpi / 72)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        renderer = make_renderer()
+        for batch in batches:
+            rows = []
+            for candidate, path, page in zip(batch["candidate_id"], batch["source_path"], batch["page_number"]):
+                try:
+                    rows.append((candidate, renderer(path, int(page), dpi), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((candidate, None, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["candidate_id", "preview_path", "error_type"])
+
+    return candidates.select("candidate_id", "source_path", "page_number").mapInPandas(run, "candidate_id string, preview_path string, error_type string")
+
+
 def create(candidates: DataFrame, run_id: str, results: DataFrame | None = None) -> DataFrame:
     """Tasks of candidates (candidate_id, document_id, page_number, decision, reason_codes, target_block_ids).
 
@@ -78,10 +97,12 @@ def executable(states: DataFrame, executing: DataFrame | None = None) -> DataFra
 def report(tasks: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """One row: candidates, tasks, answers, failures."""
     counts = tasks.agg(F.countDistinct("candidate_id").alias("candidate_count"), F.count("*").alias("review_task_count"))
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("executed_count", "failure_count")]
     if results is None:
-        return counts.withColumn("executed_count", F.lit(0).cast("bigint")).withColumn("failure_count", F.lit(0).cast("bigint"))
-    done = results.agg(F.count("result").alias("executed"), F.count("error_type").alias("failed")).first()
-    return counts.withColumn("executed_count", F.lit(done.executed)).withColumn("failure_count", F.lit(done.failed))
+        return counts.select("*", *none)
+    done = results.agg(F.count("result").alias("executed_count"), F.count("error_type").alias("failure_count"))
+    both = counts.unionByName(done, allowMissingColumns=True)
+    return both.agg(*(F.sum(c).alias(c) for c in ("candidate_count", "review_task_count", "executed_count", "failure_count")))
 
 
 def by_run(states: DataFrame, files: DataFrame) -> DataFrame:

@@ -65,3 +65,13 @@ def task_violations(tasks: DataFrame) -> DataFrame:
         F.when(_blank("review_id"), "review_id is required"), F.when(_blank("document_id"), "document_id is required"), F.when(F.col("page_number") < 1, "page_number is below 1"), F.when(F.col("page_number").isNull() & none, "a page or blocks are required"),
         F.when(~F.coalesce(F.array_contains("allowed_actions", F.col("suggested_action")), F.lit(False)), "suggested_action is not allowed"),
     ])
+
+
+def report_violations(reports: DataFrame) -> DataFrame:
+    """(document_id, violation) of quality reports (document_id, report_document_id, warnings of level, warning_type, message,
+    page_number, block_id)."""
+    lacks = lambda f: F.exists("warnings", lambda w: F.regexp_replace(F.coalesce(w[f], F.lit("")), r"(?U)\s+", "") == "")
+    return _violations(reports, ["document_id"], [
+        F.when(~F.col("report_document_id").eqNullSafe(F.col("document_id")), "report names another document"), F.when(F.col("warnings").isNull(), "warnings are required"),
+        *(F.when(lacks(f), f"{f} is required") for f in ("level", "warning_type", "message")), F.when(F.exists("warnings", lambda w: w["page_number"] < 1), "page_number is below 1"),
+    ])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.operators import clean, ocr, quality, repair
+from blockloom.operators import clean, ocr, quality, repair, review
 from blockloom.sources import files
 
 
@@ -40,8 +40,19 @@ def warnings_of(before: DataFrame, after: DataFrame) -> DataFrame:
     return quality.first_warnings(early.unionByName(quality.flag_warnings(after)))
 
 
-def evaluate(before: DataFrame, after: DataFrame) -> DataFrame:
-    return quality.evaluations(after, warnings_of(before, after))
+def evaluate(before: DataFrame, after: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Evaluations; with the documents also of those that have no block (left)."""
+    return quality.evaluations(after, warnings_of(before, after), documents=documents)
+
+
+def finalize(blocks: DataFrame, states: DataFrame, replacements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs with status and reason, final blocks, evaluations): what review replaced is put in, then the documents of
+    completed runs are cleaned, repaired and judged again."""
+    runs = review.finalization(blocks, states)
+    whole = review.finalize(blocks, states, replacements)
+    before = whole.withColumn("pos", F.col("block_order")).repartition("document_id")
+    after = process(before)
+    return runs, after, evaluate(before, after, runs.where("run_status = 'completed'"))
 
 
 def parse_directory(spark: SparkSession, path: str, recursive: bool = True, output_root: str | None = None, adapters: dict | None = None) -> Result:
@@ -58,4 +69,4 @@ def run(documents: DataFrame) -> Result:
     ok = documents.where("error is null").dropDuplicates(["document_id"])
     before = files.blocks(ok).repartition("document_id")
     after = process(before)
-    return Result(ok, after, warnings_of(before, after), evaluate(before, after), ocr.candidates(after), documents.where("error is not null").select("path", "error_type", "error"))
+    return Result(ok, after, warnings_of(before, after), evaluate(before, after, ok), ocr.candidates(after), documents.where("error is not null").select("path", "error_type", "error"))

@@ -122,4 +122,11 @@ def parse(path: str, content: bytes) -> Parsed:
         elif text := normalized(node.text()):
             kind = {"li": "list_item", "pre": "code", "p": "paragraph"}.get(node.name, "heading")
             items.append(Item("html_txt", kind, text, int(node.name[1]) if kind == "heading" else None, raw_type="html_element", **made))
-    return Parsed(title, items)
+    return Parsed(title, items, raw_counts(top))
+
+
+def raw_counts(top: Node) -> dict:
+    """What the part that is read holds, before any of it is taken."""
+    names = [n.name for n in top.walk() if n is not top]
+    kinds = {"heading": ("h1", "h2", "h3", "h4"), "paragraph": ("p",), "table": ("table",), "image": ("img",)}
+    return {"root_tag": top.name} | {f"raw_{k}_count": sum(n in of for n in names) for k, of in kinds.items()}

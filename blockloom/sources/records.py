@@ -45,7 +45,7 @@ def block_list(column: Column | str) -> Column:
     """The blocks of a JSON text that is a document or a bare list; what is no object gives nothing."""
     c = F.col(column) if isinstance(column, str) else column
     either = F.when(F.ltrim(c).startswith("["), F.from_json(c, f"array<{BLOCK}>")).otherwise(F.from_json(c, f"struct<blocks:array<{BLOCK}>>")["blocks"])
-    return F.filter(F.coalesce(either, F.array().cast(f"array<{BLOCK}>")), lambda b: b["block_id"].isNotNull())
+    return F.filter(F.coalesce(either, F.array().cast(f"array<{BLOCK}>")), lambda b: b.isNotNull())
 
 
 def read_log(spark: SparkSession, path: str, schema: str, key: str | None = None, value: str | None = None) -> DataFrame:
