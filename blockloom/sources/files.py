@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockloom.sources import html, markdown, office
+from blockloom.operators import pdf as geometry
+from blockloom.sources import html, markdown, office, pdf
 from blockloom.sources.model import BLOCK_TYPE, FORMATS, Parsed, document_row, format_of
 from blockloom.tables import prepare
 
@@ -18,8 +19,8 @@ from blockloom.tables import prepare
 LARGEST = 200 * 1024 * 1024
 SCHEMA = f"path string, document_id string, title string, file_type string, metadata map<string,string>, blocks {BLOCK_TYPE}, error_type string, error string"
 Adapter = Callable[[str, bytes], Parsed]
-#: The adapters by format; a caller may give others. PDF needs one that finds words and their places (see operators.pdf).
-ADAPTERS: dict[str, Adapter] = {"markdown": markdown.parse, "html": html.parse, "docx": office.parse_docx, "xlsx": office.parse_xlsx, "pptx": office.parse_pptx}
+#: The adapters by format; a caller may give others.  The one of PDF gives words with their places, which blocks() joins.
+ADAPTERS: dict[str, Adapter] = {"markdown": markdown.parse, "html": html.parse, "docx": office.parse_docx, "xlsx": office.parse_xlsx, "pptx": office.parse_pptx, "pdf": pdf.parse}
 
 
 def file_type(path) -> F.Column:
@@ -76,6 +77,21 @@ def parse(files: DataFrame, adapters: dict[str, Adapter] | None = None) -> DataF
 
 
 def blocks(documents: DataFrame) -> DataFrame:
-    """The blocks of parsed documents, one row each; pos is their order."""
-    rows = documents.where("error is null").select("document_id", F.posexplode("blocks").alias("__i", "b"))
-    return rows.select("document_id", (F.col("__i") + 1).alias("pos"), "b.*").withColumn("excluded_from_retrieval", F.lit(False))
+    """The blocks of parsed documents, one row each; pos is their order.  Words of pages become lines and paragraphs."""
+    rows = documents.where("error is null").select("document_id", (F.col("file_type") == "pdf").alias("__pdf"), F.posexplode("blocks").alias("__i", "b"))
+    rows = rows.select("document_id", (F.col("__i") + 1).alias("pos"), "__pdf", "b.*").withColumn("excluded_from_retrieval", F.lit(False))
+    others, rows = rows.where("not __pdf").drop("__pdf"), rows.where("__pdf").drop("__pdf")
+    words = rows.where("block_type = 'word'").select("document_id", F.col("page_start").alias("page"), "text", "page_height", *(F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("x0", "top", "x1", "bottom"))))
+    heights = words.groupBy("document_id", "page").agg(F.max("page_height").alias("page_height"))
+    texts = geometry.paragraphs(geometry.lines(words.drop("page_height"), heights)).join(heights, ["document_id", "page"])
+    texts = texts.withColumn("kind", F.when(F.col("block_type") == "paragraph", "para").otherwise(F.col("block_type")))
+    made = texts.select(
+        "document_id", F.format_string("%s_p%04d_%s_%04d", "document_id", "page", "kind", "first_line").alias("block_id"), "block_type", "text", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "bbox",
+        F.array().cast("array<string>").alias("heading_path"), "heading_level", "page_height", F.array().cast("array<string>").alias("quality_flags"), F.lit("text_line_group").alias("raw_object_type"), (F.col("first_line") - 1).alias("raw_object_index"),
+        F.array().cast("array<string>").alias("ocr_reason_codes"), F.lit(False).alias("excluded_from_retrieval"), F.lit(0).alias("__last"),
+    )
+    # The order of a PDF document: page by page, first its texts, then its pictures.
+    both = rows.where("block_type <> 'word'").withColumn("__last", F.lit(1)).unionByName(made, allowMissingColumns=True)
+    order = F.row_number().over(Window.partitionBy("document_id").orderBy("page_start", "__last", F.coalesce("raw_object_index", F.lit(0)), "block_id"))
+    both = both.withColumn("pos", order).withColumn("block_order", F.col("pos")).drop("__last")
+    return others.unionByName(both.select(*others.columns))
