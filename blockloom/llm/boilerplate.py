@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -34,7 +35,8 @@ from blockloom.tables import ensure_checkpoint_dir
 #: Importance at or below which a node is boilerplate, and the pages a site must have it on.
 IMPORTANCE, LEAST_PAGES, LEAST_SHARE = 0.55, 3, 0.02
 FRAME_SHARE = 0.002
-LONGEST_TITLE = 130
+#: The most names of operators one automaton may hold; it is read from the table of hosts and sent to every task.
+MOST_NAMES = 1_000_000
 _NUMBER = re.compile(r"[0-9０-９]+(?:[/.-][0-9０-９]+)*")
 _SECTION = re.compile(r"^\s*(?:#{1,6}\s+)?(?:\d{1,2}\. |[一二三四五六七八九十]{1,3}、)")
 _STEP = re.compile(r"\s(?:>|›|»|/|\||·|→)\s")
@@ -63,8 +65,10 @@ class Lines:
 
     def __init__(self, names: list[str], known: set[str]) -> None:
         self.normal, self.known = Normalizer(), known
-        names = sorted({" ".join(n.lower().split()) for n in names if n}, key=len, reverse=True)
-        self.names = re.compile("|".join(re.escape(n) for n in names)) if names else None
+        self.names = ahocorasick.Automaton()  # one pass over a line, however many names there are
+        for n in {" ".join(n.lower().split()) for n in names if n and n.strip()}:
+            self.names.add_word(n, len(n))
+        self.names.make_automaton()
 
     def plain(self, line: str) -> str:
         if not line.isascii():
@@ -75,25 +79,35 @@ class Lines:
                 line = render(line, tree, "paragraph")[0]
         return " ".join(line.split())
 
+    def cut(self, line: str) -> tuple[str, bool]:
+        """A line in lower case without operators' names (the longest at each place), and whether it had any."""
+        low, out, at = line.lower(), [], 0
+        if not len(self.names):
+            return low, False
+        for end, n in self.names.iter_long(low):
+            out += [low[at : end + 1 - n], " "]
+            at = end + 1
+        return "".join([*out, low[at:]]), at > 0
+
     def node(self, line: str) -> str:
-        low = line.lower()
-        return _letters(self.names.sub(" ", low) if self.names else low)
+        return _letters(self.cut(line)[0])
 
     def of(self, line: str) -> tuple[int | None, int | None, bool, bool, bool, int, int | None]:
         """(node, node of the first step of a path, names the site's operator, names an article, is a section's heading, key for titles, key of what a label stands before)."""
         plain = self.plain(line)
-        node = self.node(plain)
+        rest, named = self.cut(plain)
+        node = _letters(rest)
         if not node:
-            if self.names and self.names.search(plain.lower()):
+            if named:
                 node = "\x00name"
             else:
                 return None, None, False, False, False, 0, None
         steps = _STEP.split(plain, maxsplit=1)
         first = self.node(steps[0]) if len(steps) > 1 else ""
-        article = len(plain) <= LONGEST_TITLE and not _SENTENCE.search(plain) and not _SECTION.match(plain) and not self.known.isdisjoint(frames(plain))
+        article = not _SENTENCE.search(plain) and not _SECTION.match(plain) and not self.known.isdisjoint(frames(plain))
         if article and len(steps) == 1 and (m := re.match(r"([^:：0-9]{4,40})[:：] ?(?=.*[0-9])", plain)):
             first = self.node(m[1])
-        if self.names and self.names.search(plain.lower()):
+        if named:
             node += "\x00"  # it speaks of the operator
         bold = _BOLD.match(line)
         label = _LABEL.match(plain)
@@ -153,7 +167,9 @@ def _pages(documents: DataFrame) -> DataFrame:
 
 def nodes(blocks: DataFrame, documents: DataFrame, sites: DataFrame) -> DataFrame:
     """One row per line with letters: its nodes, and whether it is the page's own title."""
-    names = [r.org_name for r in sites.select("org_name").distinct().collect()]  # the fixed table of hosts
+    names = [r.org_name for r in sites.where("trim(org_name) <> ''").select("org_name").distinct().limit(MOST_NAMES + 1).collect()]
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"the table of hosts holds more than {MOST_NAMES} names")
     ours = blocks.where(F.col("text").isNotNull() & ~F.coalesce(F.col("block_type"), F.lit("")).isin("code", "table", "image"))
     ours = ours.select("document_id", "block_id", "block_order", F.col("block_type").eqNullSafe("heading").alias("heading"), F.coalesce("heading_level", F.lit(0)).alias("level"), "text")
     rows = ours.join(_pages(documents).select("document_id", "page_site"), "document_id")
