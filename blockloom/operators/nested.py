@@ -1,8 +1,8 @@
 """Deeply nested records to related flat tables (problem 4).
 
 A payload is one JSON text whose parts are optional and change shape from sender to sender.  Each Arrow batch of
-payloads is decoded once into a canonical nested Arrow array (list of blocks, each with lists of headers, cells,
-notes, traces, flags and candidates).  From there no row is looked at again: child arrays are emitted from the list
+payloads is decoded once, payload by payload as their shapes differ, into a canonical nested Arrow array (list of blocks,
+each with lists of headers, cells, notes, traces, flags and candidates).  From there no row is looked at again: child arrays are emitted from the list
 offsets with ``list_flatten`` and ``list_parent_indices``, and the keys of the parents follow by ``take``.
 
 Defined results:
@@ -76,6 +76,11 @@ def _text(value) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
+def _mark(value) -> str | None:
+    """Stands for a value where only its being there counts."""
+    return None if value is None else ""
+
+
 def _blocks(value) -> list[tuple[str | None, dict]]:
     value = _opened(value)
     if isinstance(value, dict):
@@ -90,17 +95,17 @@ def _blocks(value) -> list[tuple[str | None, dict]]:
     return [(None, v) for v in map(_opened, value) if isinstance(v, dict)]
 
 
-def _cells(row, headers: list) -> list:
+def _cells(row, headers: list, text) -> list:
     if isinstance(row, dict):
         at: dict = {}
         for i, h in enumerate(headers):
             at.setdefault(h if isinstance(h, str) else _text(h), i)
-        return [{"pos": at.get(k, i), "value": _text(v)} for i, (k, v) in enumerate(row.items())]
-    return [{"pos": i, "value": _text(v)} for i, v in enumerate(row if isinstance(row, list) else [row])]
+        return [{"pos": at.get(k, i), "value": text(v)} for i, (k, v) in enumerate(row.items())]
+    return [{"pos": i, "value": text(v)} for i, v in enumerate(row if isinstance(row, list) else [row])]
 
 
-def _canonical(payload: str | None) -> list[dict] | None:
-    """The blocks of one payload in the order written, parents before children."""
+def _canonical(payload: str | None, text=_text) -> list[dict] | None:
+    """The blocks of one payload in the order written, parents before children; values as ``text`` gives them."""
     if payload is None:
         return None
     try:
@@ -129,14 +134,14 @@ def _canonical(payload: str | None) -> list[dict] | None:
                 cand.append(None)
                 continue
             why = _listed(c.get("reason_codes")) if isinstance(c, dict) else []
-            cand.append({"value": _text(c), "reason": [_text(w) for w in why]})
+            cand.append({"value": text(c), "reason": [text(w) for w in why]})
         out.append({
-            "block_id": own, "parent_id": parent, "body": json.dumps({k: v for k, v in b.items() if k not in _NESTED}, ensure_ascii=False),
-            "header": [_text(h) for h in headers],
-            "cell": [None if (r := _opened(row)) is None else _cells(r, headers) for row in rows],
-            "note": [_text(x) for x in _listed(tab.get("notes"))],
-            "trace": [_text(x) for x in _listed(b.get("source_trace"))],
-            "flag": [_text(x) for x in _listed(b.get("quality_flags"))],
+            "block_id": own, "parent_id": parent, "body": text({k: v for k, v in b.items() if k not in _NESTED}),
+            "header": [text(h) for h in headers],
+            "cell": [None if (r := _opened(row)) is None else _cells(r, headers, text) for row in rows],
+            "note": [text(x) for x in _listed(tab.get("notes"))],
+            "trace": [text(x) for x in _listed(b.get("source_trace"))],
+            "flag": [text(x) for x in _listed(b.get("quality_flags"))],
             "candidate": cand,
         })
         todo += [(own, k, c) for k, c in reversed(_blocks(b.get("children")))]
@@ -181,18 +186,22 @@ def _emit(ids: pa.Array, nested: pa.Array) -> Iterator[pa.RecordBatch]:
     yield rows("reason", pc.take(at, in_cand), pc.take(pos, in_cand), why_pos, why)
 
 
-def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for start in range(0, big.num_rows, 500):  # bounds the nested array, whatever the size of the payloads
-            batch = big.slice(start, 500)
-            nested = pa.array([_canonical(p) for p in batch.column(1).to_pylist()], pa.list_(_BLOCK))
-            yield from _emit(batch.column(0), nested)
+def _flatten(text):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for start in range(0, big.num_rows, 500):  # bounds the nested array, whatever the size of the payloads
+                batch = big.slice(start, 500)
+                nested = pa.array([_canonical(p, text) for p in batch.column(1).to_pylist()], pa.list_(_BLOCK))
+                yield from _emit(batch.column(0), nested)
+
+    return run
 
 
-def flatten_records(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload") -> DataFrame:
-    """One row per item of every nested payload: ``ITEM_SCHEMA``; see the module's text for the defined results."""
+def flatten_records(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload", values: bool = True) -> DataFrame:
+    """One row per item of every nested payload: ``ITEM_SCHEMA``; see the module's text for the defined results.  Without
+    values only the places of the items are built."""
     picked = records.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(payload_col).cast("string").alias("payload"))
-    return picked.mapInArrow(_flatten, ITEM_SCHEMA)
+    return picked.mapInArrow(_flatten(_text if values else _mark), ITEM_SCHEMA)
 
 
 def flat_tables(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload") -> dict[str, DataFrame]:
@@ -215,4 +224,4 @@ def flat_tables(records: DataFrame, id_col: str = "record_id", payload_col: str
 
 def found(records: DataFrame) -> DataFrame:
     """The rows of p4_found: one per item, each once."""
-    return flatten_records(records).drop("value").distinct()
+    return flatten_records(records, values=False).drop("value").distinct()
