@@ -16,7 +16,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not (n[0] == "p" and n[1].isdigit())))
 def test_same_rows(spark, name):
     import duckdb
 
